@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import records, topk
+from tessera.llm import hostrank, mixing, quality, records, topk
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_url_filter": hostrank.op3_url_filter,
     "op4_exact_topk": topk.op4_exact_topk,
     "op5_token_records": records.op5_token_records,
+    "op6_source_mix": mixing.op6_source_mix,
 }
 
 SQL = {
+    "op3_url_filter": hostrank.OP3_SQL,
     "op4_exact_topk": topk.OP4_SQL,
 }
