@@ -33,19 +33,60 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; equal spans hash alike wherever they stand."""
-    power, inverse = _power_tables(len(buf) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:])
-        raw = (total[ends] - total[starts]) * inverse[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+class SpanHashes:
+    """64-bit hashes of byte spans of a buffer; equal spans hash alike wherever they stand."""
+
+    def __init__(self, buf: np.ndarray):
+        power, self._inverse = _power_tables(len(buf) + 1)
+        self._total = np.zeros(len(buf) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=self._total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            raw = (self._total[ends] - self._total[starts]) * self._inverse[starts]
+            return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in a buffer that ends with white space."""
-    space = _IS_SPACE[buf]
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SpanHashes for one use."""
+    return SpanHashes(buf)(starts, ends)
+
+
+class HashTable:
+    """Places of 64-bit hashes in a list: a direct look-up by leading bits and a few probes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes)
+        self._sorted = np.append(hashes[self.order], np.uint64(0))
+        self._bits = np.uint64(64 - max(8, int(len(hashes)).bit_length() + 2))
+        slots = np.arange((1 << (64 - int(self._bits))) + 1, dtype=np.uint64)
+        self._first = np.append(np.searchsorted(hashes[self.order], slots[:-1] << self._bits), len(hashes)).astype(np.int32)
+        self._probes = int(np.diff(self._first).max(initial=0))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of hashes are in the list, and their places in it."""
+        at = self._first[hashes >> self._bits]
+        hit = np.flatnonzero(self._sorted[at] == hashes)
+        which, where = [hit], [at[hit]]
+        left = None
+        for k in range(1, self._probes):
+            if left is None:
+                slot = hashes >> self._bits
+                left = np.flatnonzero(self._first[slot + np.uint64(1)] > at + k)
+            else:
+                left = left[self._first[(hashes[left] >> self._bits) + np.uint64(1)] > at[left] + k]
+            ok = self._sorted[at[left] + k] == hashes[left]
+            which.append(left[ok])
+            where.append(at[left[ok]] + k)
+        which, where = np.concatenate(which), np.concatenate(where)
+        real = where < len(self.order)
+        return which[real], self.order[where[real]]
+
+
+def spans(buf: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in a buffer that ends with white space; `between` marks the bytes that part words."""
+    space = between[buf]
     before = np.concatenate([[True], space[:-1]])
     starts = np.flatnonzero(before & ~space)
     ends = np.flatnonzero(space & ~before)
@@ -82,17 +123,39 @@ def pieces(texts: Sequence[bytes], limit: int = PIECE_BYTES) -> Iterator[tuple[b
         yield b"\n".join(held) + b"\n", which, at
 
 
+class Words:
+    """All words of a batch of texts: hashes, offsets of each text's first word (one more at the end), and their bytes on demand."""
+
+    def __init__(self, texts: Sequence[bytes], between: np.ndarray = _IS_SPACE):
+        counts = np.zeros(len(texts) + 1, np.int64)
+        found = []
+        self._parts: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        for piece, which, at in pieces(texts):
+            buf = np.frombuffer(piece, np.uint8)
+            starts, ends = spans(buf, between)
+            found.append(hash_spans(buf, starts, ends))
+            self._parts.append((piece, starts, ends))
+            first = np.searchsorted(starts, at + [len(buf)])
+            np.add.at(counts, np.asarray(which) + 1, np.diff(first))
+        self.hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        self.first = np.cumsum(counts)
+        self._part_first = np.cumsum([0] + [len(x) for x in found])
+
+    def word(self, index: np.ndarray) -> list[bytes]:
+        """The bytes of the words at the given places."""
+        part = np.searchsorted(self._part_first, index, side="right") - 1
+        out = []
+        for i, p in zip(index.tolist(), part.tolist(), strict=True):
+            piece, starts, ends = self._parts[p]
+            i -= int(self._part_first[p])
+            out.append(piece[starts[i] : ends[i]])
+        return out
+
+
 def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the offset of each text's first word (one more offset at the end)."""
-    counts = np.zeros(len(texts) + 1, np.int64)
-    found = []
-    for piece, which, at in pieces(texts):
-        buf = np.frombuffer(piece, np.uint8)
-        starts, ends = spans(buf)
-        found.append(hash_spans(buf, starts, ends))
-        first = np.searchsorted(starts, at + [len(buf)])
-        np.add.at(counts, np.asarray(which) + 1, np.diff(first))
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.cumsum(counts)
+    found = Words(texts)
+    return found.hashes, found.first
 
 
 def signed(x: np.ndarray) -> np.ndarray:

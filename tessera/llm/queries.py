@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import hostrank, mixing, quality, records, topk
+from tessera.llm import hostrank, mixing, pieces, quality, records, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_url_filter": hostrank.op3_url_filter,
     "op4_exact_topk": topk.op4_exact_topk,
     "op5_token_records": records.op5_token_records,
