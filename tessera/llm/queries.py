@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import hostrank, mixing, pieces, quality, records, topk
+from tessera.llm import hostrank, langid, mixing, pieces, quality, records, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_topk": topk.op4_exact_topk,
     "op5_token_records": records.op5_token_records,
     "op6_source_mix": mixing.op6_source_mix,
+    "op8_language": langid.op8_language,
 }
 
 SQL = {
