@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import hostrank, langid, mixing, nearjoin, pieces, quality, records, topk
+from tessera.llm import hostrank, langid, mixing, nearjoin, pieces, quality, records, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_records": records.op5_token_records,
     "op6_source_mix": mixing.op6_source_mix,
     "op8_language": langid.op8_language,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_near_join": nearjoin.op10_near_join,
 }
 
