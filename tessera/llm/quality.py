@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, table, words
+from tessera.llm.common import SPACES, materialize, table, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -18,13 +18,13 @@ MOST_CLASSES, MOST_COMMON = 0.3, 0.5
 
 # Frequent function words of English, German, French and Spanish.
 COMMON = {
-    "en": "the of and to in is that it for with was as",
-    "de": "der die und das den von ist zu mit nicht ein im",
-    "fr": "le la les de des et un une que dans est pour",
-    "es": "el los en y las por con no una del se lo",
+    "en": "the of and to in is",
+    "de": "der die und den von ist",
+    "fr": "le la les de des et",
+    "es": "el los en y que por",
 }
-#: Marks that part common words from what they touch.
-_MARKS = ".,;:!?()\"'"
+#: Marks of prose, and signs that prose has few of besides SYMBOLS.
+_MARKS, _SIGNS = r".,;:!?'\"()\-", r"@^~_=+/\\\[\]{}`"
 
 
 def _common_words() -> list[str]:
@@ -36,18 +36,20 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """word_chars, n_symbols, n_dup_lines of a text; null counts as empty."""
+def base_counts(text: Column, ws: Column) -> dict[str, Column]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text and its words; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     return {
-        "word_chars": F.length(_without(text, SPACES)).cast("long"),
-        "n_symbols": (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
+        "n_words": F.size(ws).cast("long"),
+        "word_chars": F.length(F.array_join(ws, "")).cast("long"),
+        "n_symbols": _count(text, "[#*$%&|<>]"),
         "n_dup_lines": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+        "n_repeat_words": repeated_words(ws),
     }
 
 
@@ -56,47 +58,40 @@ def repeated_words(ws: Column) -> Column:
 
     Windows are told apart by 64-bit hashes; only if some are equal are the windows themselves sorted and compared.
     """
-    at = lambda i: [F.get(ws, i + k) for k in range(WINDOW)]
+    at = lambda a, i: [F.get(a, i + k) for k in range(WINDOW)]
     starts = F.when(F.size(ws) >= WINDOW, F.sequence(F.lit(0), F.greatest(F.size(ws) - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*at(i)))
+    single = F.transform(ws, lambda w: F.xxhash64(w))
+    n_distinct = _let(single, lambda h: F.size(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*at(h, i))))))
 
     def exact() -> Column:
-        sorted_ = F.array_sort(F.transform(starts, lambda i: F.struct(F.array(*at(i)).alias("w"), i.alias("i"))))
+        sorted_ = F.array_sort(F.transform(starts, lambda i: F.struct(F.array(*at(ws, i)).alias("w"), i.alias("i"))))
         same = lambda a, b: F.coalesce(a["w"] == b["w"], F.lit(False))
         again = _let(sorted_, lambda s: F.transform(F.filter(F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), (same(x, F.get(s, k + 1)) | ((k > 0) & same(x, F.get(s, F.greatest(k - 1, F.lit(0)))))).alias("r"))), lambda x: x["r"]), lambda x: x["i"]))
         return _let(F.array_sort(again), lambda a: F.aggregate(F.transform(a, lambda i, k: F.least(F.coalesce(F.get(a, k + 1) - i, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda t, x: t + x))
 
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(starts), F.lit(0)).otherwise(exact()).cast("long")
+    return F.when(n_distinct == F.size(starts), F.lit(0)).otherwise(exact()).cast("long")
 
 
-def histograms(text: Column) -> tuple[Column, Column]:
-    """Counts by character class (lower case, upper case, digits, marks of prose, symbols, white space, others) and by common word (last: all other words)."""
+def histograms(text: Column, ws: Column) -> dict[str, Column]:
+    """Counts by character class (lower case and uncased letters, capitals, digits, marks of prose, SYMBOLS, other signs, white space, all else) and by common word (last: all other words)."""
     text = F.coalesce(text, F.lit(""))
-    lower = F.lower(text)
-    count = lambda t, pattern: F.length(t) - F.length(pattern)
-    digits = count(text, _without(text, "0123456789"))
-    marks = count(text, _without(text, ".,;:!?'\"()-"))
-    symbols = count(text, _without(text, "#*$%&|<>@^~_=+/\\[]{}`"))
-    space = count(text, _without(text, SPACES))
-    letters_up = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))
-    rest = F.length(F.regexp_replace(text, r"[\p{L}\p{M}0-9.,;:!?'\"()\-#*$%&|<>@^~_=+/\\\[\]{}`\x20\x09-\x0D]+", ""))
-    low = F.length(text) - digits - marks - symbols - space - letters_up - rest
-    classes = F.array(*[x.cast("double") for x in (low, letters_up, digits, marks, symbols, space, rest)])
-    plain = F.translate(lower, SPACES + _MARKS, " " * (len(SPACES) + len(_MARKS)))
-    padded = F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" "))
-    common = _common_words()
-    found = _let(padded, lambda t: F.array(*[((F.length(t) - F.length(F.replace(t, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)) for w in common]))
-    return classes, found
+    of = {k: _count(text, p) for k, p in {"capitals": r"[\p{Lu}\p{Lt}]", "digits": "[0-9]", "marks": f"[{_MARKS}]", "symbols": "[#*$%&|<>]", "signs": f"[{_SIGNS}]"}.items()}
+    of["space"] = (F.length(text) - F.length(F.array_join(ws, ""))).cast("long")
+    of["else"] = _count(text, rf"[^\p{{L}}\p{{M}}0-9{_MARKS}#*$%&|<>{_SIGNS}\x20\x09-\x0D]")
+    letters = F.length(text).cast("long") - sum(of.values(), F.lit(0).cast("long"))
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), rf"[\x20\x09-\x0D{_MARKS}]+", "  "), F.lit(" "))
+    found = _let(padded, lambda t: F.array(*[((F.length(t) - F.length(F.replace(t, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in _common_words()]))
+    return {"classes": F.array(letters, *of.values()), "found": found}
 
 
 def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda t, x: t + x)
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda t, x: t + x)
     return _let(F.struct(counts.alias("c"), total.alias("n")), lambda s: F.transform(s["c"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))
 
 
 def _with_others(found: Column, n_words: Column) -> Column:
-    used = F.aggregate(found, F.lit(0.0), lambda t, x: t + x)
-    return F.concat(found, F.array(F.greatest(n_words.cast("double") - used, F.lit(0.0))))
+    used = F.aggregate(found, F.lit(0).cast("long"), lambda t, x: t + x)
+    return F.concat(found, F.array(F.greatest(n_words - used, F.lit(0).cast("long"))))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -106,29 +101,46 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def language_references(docs: DataFrame) -> DataFrame:
-    """Mean shares per language over all its documents of LEAST_WORDS_COMMON words or more: lang (null: of the whole table), n, classes, common.
+_WIDTHS = {"a": 8, "b": len(_common_words()) + 1}
 
-    One pre-aggregated row per language; only the at most MOST_LANGUAGES large ones are kept, and the whole table's.
+
+def features(docs: DataFrame) -> DataFrame:
+    """docs with the base counts, classes and found (histograms) of each whole text; of the names in use already, the new columns win."""
+    with_words = docs.withColumn("_words", words(F.col("text")))
+    return with_words.withColumns(base_counts(F.col("text"), F.col("_words")) | histograms(F.col("text"), F.col("_words"))).drop("_words")
+
+
+def language_references(counted: DataFrame) -> list[tuple[str | None, list[float], list[float]]]:
+    """Mean shares of classes and of common words for each language, over all its documents of LEAST_WORDS_COMMON words or more.
+
+    A language has references of its own if it holds one in MOST_LANGUAGES of all documents; the last row, of null, is
+    the whole table's. Sums are pre-aggregated to a row for each language and only those few rows come to the driver, rounded so that the order
+    of summing doesn't matter.
     """
-    classes, found = histograms(F.col("text"))
-    n = F.size(words(F.col("text")))
-    shares = docs.select("lang", classes.alias("classes"), found.alias("found"), n.alias("n")).where(F.col("n") >= LEAST_WORDS_COMMON).select("lang", _shares(F.col("classes")).alias("a"), _shares(_with_others(F.col("found"), F.col("n"))).alias("b"))
-    width = 7, len(_common_words()) + 1
-    sums = [F.sum(F.col("a")[i]).alias(f"a{i}") for i in range(width[0])] + [F.sum(F.col("b")[i]).alias(f"b{i}") for i in range(width[1])]
-    per = shares.groupBy("lang").agg(F.count("*").alias("n"), *sums)
-    return per.select("lang", "n", F.array(*[F.col(f"a{i}") for i in range(width[0])]).alias("a"), F.array(*[F.col(f"b{i}") for i in range(width[1])]).alias("b"))
-
-
-def _bounded(references: DataFrame) -> list[tuple]:
-    """At most MOST_LANGUAGES languages' shares and the whole table's, rounded so that the order of summing doesn't matter."""
-    total = references.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, w in (("a", 7), ("b", len(_common_words()) + 1)) for i in range(w)]).first()
-    large = references.where(F.col("lang").isNotNull() & (F.col("n") * MOST_LANGUAGES >= total.n)).collect()
-    shares = lambda xs, n: [round(x / n, 9) for x in xs]
-    rows = [(r.lang, shares(r.a, r.n), shares(r.b, r.n)) for r in large]
-    if total.n:
-        rows.append((None, shares([total[f"a{i}"] for i in range(7)], total.n), shares([total[f"b{i}"] for i in range(len(_common_words()) + 1)], total.n)))
-    return rows
+    shares = counted.where(F.col("n_words") >= LEAST_WORDS_COMMON).select("lang", _shares(F.col("classes")).alias("a"), _shares(_with_others(F.col("found"), F.col("n_words"))).alias("b"))
+    per = shares.groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, w in _WIDTHS.items() for i in range(w)])
+    sums = [F.sum(c).alias(c) for c in per.columns if c != "lang"]
+    both = per.select(F.lit(False).alias("whole"), *per.columns).unionByName(per.agg(*sums).select(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("lang"), "*"))
+    both = both.withColumn("all", F.max(F.when(F.col("whole"), F.col("n"))).over(Window.partitionBy()))
+    rows = both.where("whole AND n > 0 OR NOT whole AND lang IS NOT NULL AND n * %d >= all" % MOST_LANGUAGES).orderBy("whole", "lang").collect()
+    return [(r.lang, *[[round(r[f"{c}{i}"] / r.n, 9) for i in range(w)] for c, w in _WIDTHS.items()]) for r in rows]
+
+
+def verdicts(counted: DataFrame, references: list[tuple[str | None, list[float], list[float]]]) -> DataFrame:
+    """counted with base_failed, js_classes, js_common and kept."""
+    known = [r[0] for r in references if r[0] is not None]
+    key = F.when(F.col("lang").isin(known), F.concat(F.lit("="), "lang")).otherwise("*") if known else F.lit("*")
+    made = counted.sparkSession.createDataFrame([("*" if k is None else f"={k}", a, b) for k, a, b in references], "_key string, _ra array<double>, _rb array<double>")
+    n = F.col("n_words")
+    held = counted.withColumn("_key", key).join(F.broadcast(made), "_key", "left").withColumns(
+        {
+            "base_failed": (n < 10) | (100 * F.col("n_repeat_words") > 20 * n),
+            "js_classes": F.when(n >= LEAST_WORDS_CLASSES, F.round(distance(_shares(F.col("classes")), F.col("_ra")), 6)),
+            "js_common": F.when(n >= LEAST_WORDS_COMMON, F.round(distance(_shares(_with_others(F.col("found"), n)), F.col("_rb")), 6)),
+        }
+    )
+    verdict = ~F.col("base_failed") & ~(F.coalesce("js_classes", F.lit(0.0)) > MOST_CLASSES) & ~(F.coalesce("js_common", F.lit(0.0)) > MOST_COMMON)
+    return held.withColumn("kept", verdict).drop("_key", "_ra", "_rb", "classes", "found")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -139,26 +151,11 @@ def judge(docs: DataFrame) -> DataFrame:
     reference; with no reference at all nothing is rejected for its divergence. Other columns stay, those of the same
     names as the new ones are replaced. Rows are judged one by one: repeated rows get equal verdicts.
     """
-    spark = docs.sparkSession
-    rows = _bounded(language_references(docs))
-    known = [r[0] for r in rows if r[0] is not None]
-    key = F.when(F.col("lang").isin(known), F.concat(F.lit("="), "lang")).otherwise("*") if known else F.lit("*")
-    made = spark.createDataFrame([("*" if k is None else f"={k}", a, b) for k, a, b in rows], "_key string, _ra array<double>, _rb array<double>")
-    kept = docs.withColumns({"_words": words(F.col("text")), "_key": key})
-    classes, found = histograms(F.col("text"))
-    kept = kept.join(F.broadcast(made), "_key", "left")
-    new = base_counts(F.col("text")) | {"n_words": F.size("_words").cast("long"), "n_repeat_words": repeated_words(F.col("_words")), "_classes": classes, "_found": found}
-    kept = kept.withColumns(new).withColumns(
-        {
-            "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-            "js_classes": F.when(F.col("n_words") >= LEAST_WORDS_CLASSES, F.round(distance(_shares(F.col("_classes")), F.col("_ra")), 6)),
-            "js_common": F.when(F.col("n_words") >= LEAST_WORDS_COMMON, F.round(distance(_shares(_with_others(F.col("_found"), F.col("n_words"))), F.col("_rb")), 6)),
-        }
-    )
-    verdict = ~F.col("base_failed") & ~(F.coalesce("js_classes", F.lit(0.0)) > MOST_CLASSES) & ~(F.coalesce("js_common", F.lit(0.0)) > MOST_COMMON)
-    return kept.withColumn("kept", verdict).drop("_words", "_key", "_ra", "_rb", "_classes", "_found")
+    counted = features(docs)
+    return verdicts(counted, language_references(features(docs.select("lang", "text"))))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' counts and verdicts."""
-    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_classes", "js_common")
+    """All documents' counts and verdicts; the texts are read once, their counts kept for the verdicts."""
+    counted = materialize(features(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text"), "quality")
+    return verdicts(counted, language_references(counted)).drop("lang")
