@@ -17,7 +17,9 @@ from tessera.llm.kernels import HashTable, SpanHashes, hash_spans, mix
 ALPHA = 1.0
 SEED = 20
 #: Texts are sampled together in groups of about so many bytes.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 3 << 20
+#: Probabilities are rounded to so many bits, so that they add up alike in any batch.
+_SHARE_BITS = 32
 _SPACE_MARK = "▁"
 
 
@@ -96,42 +98,47 @@ class Sampler:
             logp.append(weights[where])
         src, dst, ids, logp = (np.concatenate(x) for x in (src, dst, ids, logp))
         u = unit[src]
-        return dst + u, src + u, ids, logp
+        return (dst + u).astype(np.int32), (src + u).astype(np.int32), ids.astype(np.int32), logp
 
     def _forward(self, first: np.ndarray, dst: np.ndarray, src: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Arcs in the order of their end nodes with each node's cumulative probabilities, for backward sampling."""
+        """For backward sampling: first nodes, nodes' ranks, arcs' keys (rank of their end node plus cumulative probability), start nodes and order."""
         starts = first[:-1] + np.arange(len(first) - 1)
         nodes = int(first[-1]) + len(first) - 1
-        unit_of = np.repeat(np.arange(len(first) - 1), np.diff(first) + 1)
-        depth = dst - starts[unit_of[dst]]
-        order = np.lexsort((dst, depth))
+        unit_of = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first) + 1)
+        depth = (dst - starts[unit_of[dst]]).astype(np.int64)
+        # by depth, end node and start node: one order, whatever else is in the batch
+        if depth.max(initial=0) < 1 << 25:
+            order = np.argsort((depth << 38) | (dst.astype(np.int64) << 7) | (dst - src))
+        else:
+            order = np.lexsort((-src, dst, depth))
         dst, src, logp, depth = dst[order], src[order], logp[order], depth[order]
+        heads = np.concatenate([[True], dst[1:] != dst[:-1]]) if len(dst) else np.zeros(0, bool)
+        group = np.flatnonzero(heads)
         alpha = np.full(nodes, -np.inf)
         alpha[starts] = 0.0
-        share = np.zeros(len(dst))
+        rank = np.zeros(nodes, np.int32)
+        rank[dst[group]] = np.arange(len(group))
+        share = np.zeros(len(dst), np.int64)
         edges = np.flatnonzero(np.concatenate([[True], depth[1:] != depth[:-1], [True]])) if len(dst) else np.zeros(1, int)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            d = dst[a:b]
-            group = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        del depth
+        cuts = np.searchsorted(group, edges)
+        for a, b, ga, gb in zip(edges[:-1], edges[1:], cuts[:-1], cuts[1:], strict=True):
+            at = group[ga:gb] - a
+            size = np.diff(np.append(at, b - a))
             w = alpha[src[a:b]] + logp[a:b]
-            top = np.maximum.reduceat(w, group)
-            size = np.diff(np.append(group, b - a))
-            with np.errstate(invalid="ignore"):
-                e = np.exp(w - np.repeat(top, size))
-            e[~np.isfinite(e)] = 0.0
-            total = np.add.reduceat(e, group)
-            with np.errstate(divide="ignore"):
-                alpha[d[group]] = top + np.log(total)
-            total[total == 0] = 1
-            share[a:b] = e / np.repeat(total, size)
-        back = np.argsort(dst, kind="stable")
-        dst, src, share, order = dst[back], src[back], share[back], order[back]
-        group = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.zeros(0, int)
+            top = np.maximum.reduceat(w, at)
+            e = np.exp(w - np.repeat(top, size))
+            whole = np.add.reduceat(e, at)
+            alpha[dst[a:b][at]] = top + np.log(whole)
+            share[a:b] = e / np.repeat(whole, size) * 2.0**_SHARE_BITS
+        # whole numbers add up alike in any batch
+        last = np.append(group[1:], len(dst)) - 1 if len(dst) else group
         total = np.cumsum(share)
-        base = np.repeat(total[group] - share[group], np.diff(np.append(group, len(dst))))
-        cum = np.minimum(total - base, 1.0)
-        cum[np.append(group[1:], len(dst)) - 1 if len(dst) else group] = 1.0
-        return starts, dst + cum, src, order
+        before = np.concatenate([[0], total[last[:-1]]]) if len(dst) else total
+        total -= np.repeat(before, np.diff(np.append(group, len(dst))))
+        total[last] = 1 << _SHARE_BITS
+        key = (np.repeat(np.arange(len(group)), np.diff(np.append(group, len(dst)))) << _SHARE_BITS) + total
+        return starts, rank, key, src, order
 
     def encode(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """A sampled segmentation of each text, fixed by its seed (uint64) alone; an empty text gives none."""
@@ -173,8 +180,9 @@ class Sampler:
         first = np.concatenate([[0], np.cumsum(ends[some] - starts[some])])
         place = np.arange(first[-1]) + np.repeat(starts[some] - first[:-1], np.diff(first))
         dst, src, ids, logp = self._lattice(buf[place], first)
-        node0, key, back, order = self._forward(first, dst, src, logp)
+        node0, rank_of, key, back, order = self._forward(first, dst, src, logp)
         ids = ids[order]
+        del dst, src, logp, order, place
         doc = np.searchsorted(begin, starts, side="right") - 1
         ordinal = (starts - begin[doc]).astype(np.uint64)
         with np.errstate(over="ignore"):
@@ -185,8 +193,8 @@ class Sampler:
         at, got, step_no = [], [], 0
         while len(live):
             with np.errstate(over="ignore"):
-                u = (mix(state[live] + np.uint64(step_no) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc = np.searchsorted(key, node[live] + u, side="right")
+                u = (mix(state[live] + np.uint64(step_no) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - _SHARE_BITS)).astype(np.int64)
+            arc = np.searchsorted(key, (rank_of[node[live]].astype(np.int64) << _SHARE_BITS) + u, side="right")
             at.append(live)
             got.append(ids[arc])
             node[live] = back[arc]
