@@ -30,11 +30,13 @@ from tessera.llm.common import materialize, new_folder, small_batches, table
 _HEAD = struct.Struct("<QI")
 _PAYLOAD = struct.Struct("<qB3xI")
 _INDEX = struct.Struct("<qQQ")
-#: Words whose ids a worker keeps; the memory stays bounded, the results don't depend on it.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps in each of two generations; the memory stays bounded, the results don't depend on it.
+CACHE_WORDS = 300_000
+_ODD = r"\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff"
 #: A space after a character that is no kind of white space: no token of the vocabulary's pattern crosses it.
-_CUT = re.compile(r"(?<=[^\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  　﻿])(?= )")
-_WORD = re.compile(r" ?[^\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  　﻿]+")
+_CUT = re.compile(rf"(?<=[^{_ODD}])(?= )")
+#: Words that end in what may be white space.
+_LAST = re.compile(rf"[{_ODD}]$")
 
 
 def masked_crc(data: bytes) -> int:
@@ -96,6 +98,20 @@ def read_index(path: str) -> list[tuple[int, int, int]]:
         return list(_INDEX.iter_unpack(f.read()))
 
 
+#: Bytes of ASCII that may be white space, and beginnings of wider characters that may be.
+_PLAIN = bytes(32 if b <= 32 or b == 127 else b for b in range(256))
+_WIDE = (b"\xc2", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbb")
+
+
+def cut(text: str) -> list[str]:
+    """A text's words as one list: the first as it is, the others without the space before them."""
+    raw = text.encode()
+    if b"  " not in raw.translate(_PLAIN) and text[:1] != " " and text[-1:] != " " and (text.isascii() or not any(w in raw for w in _WIDE)):
+        return text.split(" ")  # each space is a place to cut at
+    head, *rest = _CUT.split(text)
+    return [head, *[w[1:] for w in rest]]
+
+
 class Encoder:
     """Token ids of whole texts by the tokenizers library; ids of words that come again are kept."""
 
@@ -104,19 +120,44 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # a byte-level token is written with one character for each of its bytes, an added one as it is
+        added = {t.content for t in self.model.get_added_tokens_decoder().values()}
+        self.sizes = np.zeros(self.model.get_vocab_size(), np.int64)
+        for token, i in self.model.get_vocab().items():
+            self.sizes[i] = len(token.encode()) if token in added else len(token)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encodes words that follow a space, many joined in one text where no token can cross from one to the next."""
+        loose = [w for w in fresh if not w or _LAST.search(w)]
+        self.kept.update(zip(loose, self._plain([" " + w for w in loose]), strict=True))
+        tight = [w for w in fresh if w not in self.kept] if loose else fresh
+        groups = [tight[i : i + 512] for i in range(0, len(tight), 512)]
+        texts = [" " + " ".join(g) for g in groups]
+        for group, text, e in zip(groups, texts, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            lengths = map(len, group) if text.isascii() else [len(w.encode()) for w in group]
+            at = (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(lengths, np.int64, len(group)) + 1)) + 1) * 4
+            data, at = ids.tobytes(), at.tolist()
+            self.kept.update(zip(group, map(data.__getitem__, map(slice, [0, *at], at)), strict=False))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """As encode(text, add_special_tokens=False).ids of each text. Texts are cut before single spaces, where no token crosses."""
-        cut = [_CUT.split(t) for t in texts]
+        """As encode(text, add_special_tokens=False).ids of each text. Texts are cut before spaces that no token crosses."""
+        words = [cut(t) for t in texts]
+        heads = self._plain([w[0] for w in words])
+        rest = [w[1:] for w in words]
+        seen = set().union(*rest)
         if len(self.kept) > CACHE_WORDS:
-            self.kept.clear()
-        fresh = list(dict.fromkeys(w for words in cut for w in words if w not in self.kept))
-        for at in range(0, len(fresh), 5000):
-            part = fresh[at : at + 5000]
-            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.kept[w] = np.asarray(e.ids, "<u4").tobytes()
+            self.kept, self.older = {}, self.kept
+        fresh = seen.difference(self.kept)
+        again = fresh.intersection(self.older)
+        self.kept.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self._learn(list(fresh - again))
         get = self.kept.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in cut]
+        return [np.frombuffer(h + b"".join(map(get, ws)), "<u4") for h, ws in zip(heads, rest, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
