@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import hostrank, langid, mixing, nearjoin, pieces, quality, records, topk, toxicity
+from tessera.llm import hostrank, langid, mixing, nearjoin, pieces, quality, records, secretscan, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_topk": topk.op4_exact_topk,
     "op5_token_records": records.op5_token_records,
     "op6_source_mix": mixing.op6_source_mix,
+    "op7_secrets": secretscan.op7_secrets,
     "op8_language": langid.op8_language,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_near_join": nearjoin.op10_near_join,
