@@ -52,12 +52,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Spark's setting by which a finished query's shuffle files go at once rather than when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, and a lost executor costs nothing."""
+    """Writes df to the shared folder and reads it back: cuts lineage, frees the shuffles behind it, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = (out, path)
+    return out
+
+
+#: Materialised tables and their folders.
+_folders: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes materialised tables that nothing reads any more."""
+    for t in tables:
+        if found := _folders.pop(id(t), None):
+            _remove(t.sparkSession, found[1])
 
 
 def words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 #: Far more rounds than a graph of any size needs; reaching it is an error, never a partial result.
 MOST_ROUNDS = 60
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours of a node and the node itself go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(small, "edges")
+        old, now = now, materialize(small, "edges")
+        discard(old)
     else:
         raise RuntimeError("components did not settle")
     return now.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

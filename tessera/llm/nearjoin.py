@@ -7,9 +7,10 @@ each of GROUPS groups) are points: min-sums of coordinates bound overlaps, node
 verified on the whole sets. The order puts shingles last that a bounded sample shows to be frequent; it changes the
 work, never the result.
 
-Copies of one set are one class from the start. A block's PIVOTS smallest classes are compared with all its others
-first; what that links is one component, and only pairs of unlike components are looked for in what is left of large
-blocks. Links within a component can't change it, so no group's pairs are ever all made.
+Copies of one set are one class from the start. A block's smallest class is compared with all its others first, then
+its PIVOTS smallest with those of other components than theirs; in what is left of large blocks only pairs of unlike
+components are looked for. Links within a component can't change it, so no group's pairs are ever all made. Before
+whole sets travel, finer count vectors (of FINE shingles a group) must allow the link.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches, table
+from tessera.llm.common import discard, materialize, small_batches, table, word_count
 from tessera.llm.components import components
 from tessera.llm.kernels import mix, signed, word_hashes
 
@@ -31,6 +32,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Groups of the count vectors.
 GROUPS = 64
+#: Shingles of a group of the finer vectors, on the average.
+FINE = 4
 #: Documents whose shingles show which are frequent, how often they must occur there, and how many are kept.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 8, 100_000
 #: Classes of a block that all others are compared with first.
@@ -78,6 +81,21 @@ def count_vector(s: np.ndarray) -> np.ndarray:
     return (np.full(GROUPS, 65535) if counts.max(initial=0) > 65535 else counts).astype("<u2")
 
 
+def fine_vector(s: np.ndarray) -> bytes:
+    """Counts over as many groups (a power of two) as the set has FINE shingles each; 255 stands for 255 or more."""
+    bits = min(16, max(3, (len(s) // FINE).bit_length()))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """Greatest overlap that two finer vectors allow; the longer is folded to the other's groups."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    x[x == 255], y[y == 255] = 1 << 40, 1 << 40
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.minimum(x.reshape(len(y), -1).sum(axis=1), y).sum())
+
+
 def _digest(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0).to_pylist()
@@ -93,9 +111,9 @@ def _digest(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.nd
             with np.errstate(over="ignore"):
                 h1 = int(signed(np.array([mix(s).sum(dtype=np.uint64)]))[0])
                 h2 = int(signed(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(0x2545F4914F6CDD1D)))]))[0]) if len(s) else 0
-            rows.append((k, len(s), h1, h2, signed(first), count_vector(s).tobytes()))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.binary())], names=["doc_id", "n", "h1", "h2", "prefix", "counts"])
+            rows.append((k, len(s), h1, h2, signed(first), count_vector(s).tobytes(), fine_vector(s)))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.binary())], names=["doc_id", "n", "h1", "h2", "prefix", "counts", "fine"])
 
 
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +219,9 @@ def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in frames:
-        na, nb = x["na"].to_numpy(), x["nb"].to_numpy()
-        most = np.minimum(_points(x["ca"]), _points(x["cb"])).sum(axis=1)
-        yield x.loc[most >= _needed(na, nb), ["a", "b", "na", "nb"]]
+        need = _needed(x["na"].to_numpy(), x["nb"].to_numpy())
+        ok = np.fromiter((fine_bound(f, g) for f, g in zip(x["fa"], x["fb"], strict=True)), np.int64, len(x)) >= need
+        yield x.loc[ok, ["a", "b"]]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -248,39 +266,55 @@ def near_components(docs: DataFrame) -> DataFrame:
     small_batches(spark, 1000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, rows.count()))  # at most MOST_FREQUENT
-    digests = materialize(rows.mapInArrow(lambda b: _digest(b, *frequent.value), "doc_id long, n long, h1 long, h2 long, prefix array<long>, counts binary"), "digests")
+    digests = materialize(rows.mapInArrow(lambda b: _digest(b, *frequent.value), "doc_id long, n long, h1 long, h2 long, prefix array<long>, counts binary, fine binary"), "digests")
 
     # classes of equal sets, known by their smallest document
     real = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     classes = digests.where(real).groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc"))
     members = materialize(digests.where(real).select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("doc_id", "doc", "n"), "members")
     leaders = members.where("doc_id = doc").select("doc", "n").distinct()
-    points = materialize(digests.where(real).join(leaders, (F.col("doc_id") == F.col("doc")) & (digests["n"] == leaders["n"]), "left_semi").select(F.col("doc_id").alias("doc"), "n", "prefix", "counts").dropDuplicates(["doc", "n"]), "points")
+    points = materialize(digests.where(real).join(leaders, (F.col("doc_id") == F.col("doc")) & (digests["n"] == leaders["n"]), "left_semi").select(F.col("doc_id").alias("doc"), "n", "prefix", "counts", "fine").dropDuplicates(["doc", "n"]), "points")
+
+    heads = materialize(digests.select("doc_id", "n"), "heads")
+    discard(digests)
 
     # blocks: the classes whose prefixes share a shingle
     dealt = points.select("doc", "n", F.explode("prefix").alias("shingle"))
     shared = dealt.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1")
     blocks = materialize(dealt.join(shared, "shingle"), "blocks")
-    pivots = blocks.select("shingle", F.col("doc").alias("pivot"), F.col("n").alias("pn"), F.row_number().over(Window.partitionBy("shingle").orderBy("doc")).alias("r")).where(F.col("r") <= PIVOTS).drop("r")
-    near = (100 * F.col("n") >= PERCENT * F.col("pn")) & (100 * F.col("pn") >= PERCENT * F.col("n")) & (F.col("doc") != F.col("pivot"))
-    tried = blocks.join(pivots, "shingle").where(near).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+    rank = F.row_number().over(Window.partitionBy("shingle").orderBy("doc"))
+    pivots = materialize(blocks.select("shingle", F.col("doc").alias("pivot"), F.col("n").alias("pn"), rank.alias("r")).where(F.col("r") <= PIVOTS), "pivots")
+    alike = (100 * F.col("n") >= PERCENT * F.col("pn")) & (100 * F.col("pn") >= PERCENT * F.col("n")) & (F.col("doc") != F.col("pivot"))
 
-    bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    held = blocks.select("doc").mapInPandas(_places, "place long").distinct().toPandas()["place"].to_numpy(np.int64)  # at most 2 ** FILTER_BITS
-    np.bitwise_or.at(bits, held >> 3, (1 << (held & 7)).astype(np.uint8))
-    sent = spark.sparkContext.broadcast(bits)
-    sets = materialize(rows.where("doc_id IS NOT NULL").mapInArrow(lambda b: _sets(b, sent.value), "doc long, set binary").join(points.select("doc").distinct(), "doc", "left_semi"), "sets")
+    def tried(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+        return rows.join(pivots, "shingle").where(alike).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: points.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
-        bounded = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_bounded, "a long, b long, na long, nb long")
-        bounded = materialize(bounded.select("a", "b"), "pairs")
+        """The pairs that link."""
+        side = lambda x: points.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+        bounded = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_bounded, "a long, b long"), "pairs")
+        held = bounded.select(F.explode(F.array("a", "b")).alias("doc")).mapInPandas(_places, "place long").distinct().toPandas()["place"].to_numpy(np.int64)  # at most 2 ** FILTER_BITS
+        bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+        np.bitwise_or.at(bits, held >> 3, (1 << (held & 7)).astype(np.uint8))
+        sent = spark.sparkContext.broadcast(bits)
+        # the filter lets a few others through; the joins by document leave them out
+        sets = materialize(rows.where("doc_id IS NOT NULL").mapInArrow(lambda b: _sets(b, sent.value), "doc long, set binary"), "sets")
         whole = lambda x: sets.select(F.col("doc").alias(x), F.col("set").alias(f"s{x}"))
-        small_batches(spark, 1000)
-        return materialize(bounded.join(whole("b"), "b").join(whole("a"), "a").mapInPandas(_verified, "a long, b long").distinct(), "links")
+        links = materialize(bounded.join(whole("b"), "b").join(whole("a"), "a").mapInPandas(_verified, "a long, b long").distinct(), "links")
+        discard(bounded, sets)
+        return links
+
+    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs whose components differ."""
+        of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    links = verify(tried)
+    links = verify(tried(blocks, pivots.where("r = 1")))
     found = materialize(components(links), "components")
+    more = materialize(apart(tried(blocks.where("size > 2"), pivots.where("r > 1")), found), "more")
+    if not more.isEmpty():
+        links = links.unionByName(verify(more))
+        found = materialize(components(links), "components")
     # what is left of blocks in which the pivots didn't meet all
     large = blocks.where(F.col("size") > PIVOTS + 1).join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     split = large.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("shingle")
@@ -291,10 +325,27 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
     rest = meets.groupBy("shingle", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
     rest = materialize(rest, "rest")
+    discard(blocks, pivots, more)
     if not rest.isEmpty():
         found = materialize(components(links.unionByName(verify(rest))), "components")
     linked = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc_id", F.coalesce("component", "doc").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component"))
-    return digests.select("doc_id", "n").join(linked, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    discard(points, rest)
+    return heads.join(linked, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs of the smallest doc_id of each component, one for each such id; rows without an id or without words stay."""
+    groups = near_components(docs)
+    first = groups.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    first = materialize(first, "representatives")
+    empty = F.col("doc_id").isNull() | (word_count(F.col("text")) == 0)
+    kept = docs.where(~empty).join(first.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    again = first.where("rows > 1").select("doc_id")
+    if not again.isEmpty():
+        order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+        twice = docs.where(~empty).join(again, "doc_id", "left_semi").select(F.struct("*").alias("_row"), "doc_id", "text")
+        kept = kept.unionByName(twice.withColumn("_r", order).where("_r = 1").select("_row.*"))
+    return kept.unionByName(docs.where(empty))
 
 
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
