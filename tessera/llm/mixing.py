@@ -140,6 +140,14 @@ def mix(sized: DataFrame) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, source, text and any others) as the mix holds them: rows come as often as the mix takes them, to the nearest whole; rows it doesn't take are left out."""
+    named = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "mix-rows")
+    sized = named.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), word_count(F.col("row.text")).alias("size"))
+    copies = mix(sized).where("size > 0").select("uid", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("copies")).where("copies > 0")
+    return named.join(copies, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     docs = table(spark, sf_dir, "documents")

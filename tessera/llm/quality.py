@@ -155,6 +155,12 @@ def judge(docs: DataFrame) -> DataFrame:
     return verdicts(counted, language_references(features(docs.select("lang", "text"))))
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs that pass, with the columns they had."""
+    held = docs.select(F.struct("*").alias("_row"), "lang", "text")
+    return verdicts(features(held), language_references(features(docs.select("lang", "text")))).where("kept").select("_row.*")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' counts and verdicts; the texts are read once, their counts kept for the verdicts."""
     counted = materialize(features(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text"), "quality")
