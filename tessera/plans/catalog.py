@@ -119,33 +119,33 @@ def clusters_rollup(spark, t):
     return _pooled(stats.clusters_rollup(t("clusters")).drop("all_frames"))
 
 
-@query("""SELECT frame, round(sum(CASE WHEN side = 'upper' THEN area ELSE 0 END), 4) AS upper, round(sum(CASE WHEN side = 'lower' THEN area ELSE 0 END), 4) AS lower FROM clusters WHERE isfinite(area) AND area > 0 GROUP BY frame""", ("clusters",))
+@query("""SELECT frame, round(sum(CASE WHEN side = 'upper' THEN area ELSE 0 END), 7) AS upper, round(sum(CASE WHEN side = 'lower' THEN area ELSE 0 END), 7) AS lower FROM clusters WHERE isfinite(area) AND area > 0 GROUP BY frame""", ("clusters",))
 def areas_per_frame(spark, t):
     """Area sums per frame and side."""
-    return _round(stats.areas_per_frame(t("clusters")), 4)
+    return _round(stats.areas_per_frame(t("clusters")), 7)
 
 
 @query(""", a AS (SELECT frame % 5 AS frame, sum(CASE WHEN side = 'upper' THEN area ELSE 0 END) AS up, sum(CASE WHEN side = 'lower' THEN area ELSE 0 END) AS lo FROM clusters WHERE isfinite(area) AND area > 0 GROUP BY 1),
 s AS (SELECT frame, 100 * up / (lx * ly) AS upper, 100 * lo / (lx * ly) AS lower, 100 * (up + lo) / (2 * lx * ly) AS total FROM a JOIN box USING (frame))
-SELECT CAST(frame AS VARCHAR) AS frame, round(upper, 4) AS upper, round(lower, 4) AS lower, round(total, 4) AS total FROM s UNION ALL SELECT 'all', round(avg(upper), 4), round(avg(lower), 4), round(avg(total), 4) FROM s""", ("clusters", "box"))
+SELECT CAST(frame AS VARCHAR) AS frame, round(upper, 7) AS upper, round(lower, 7) AS lower, round(total, 7) AS total FROM s UNION ALL SELECT 'all', round(avg(upper), 7), round(avg(lower), 7), round(avg(total), 7) FROM s""", ("clusters", "box"))
 def coverage(spark, t):
     """Surface coverage per frame and its means."""
-    return _pooled(_round(stats.coverage(t("clusters").withColumn("frame", F.col("frame") % 5), t("box")), 4))
+    return _pooled(_round(stats.coverage(t("clusters").withColumn("frame", F.col("frame") % 5), t("box")), 7))
 
 
-@query("""SELECT coalesce(CAST(frame AS VARCHAR), 'all') AS frame, round(coalesce(avg(area) FILTER (side = 'upper'), 0), 4) AS upper, round(coalesce(avg(area) FILTER (side = 'lower'), 0), 4) AS lower, round(avg(area), 4) AS total
+@query("""SELECT coalesce(CAST(frame AS VARCHAR), 'all') AS frame, round(coalesce(avg(area) FILTER (side = 'upper'), 0), 7) AS upper, round(coalesce(avg(area) FILTER (side = 'lower'), 0), 7) AS lower, round(avg(area), 7) AS total
 FROM clusters WHERE isfinite(area) AND area > 0 GROUP BY ROLLUP (frame)""", ("clusters",))
 def mean_size_per_frame(spark, t):
     """Mean cluster size per frame and pooled."""
-    return _pooled(_round(stats.mean_sizes(t("clusters")), 4))
+    return _pooled(_round(stats.mean_sizes(t("clusters")), 7))
 
 
 @query(""", s AS (SELECT f.frame, sum(CASE WHEN defect_type = 1 THEN area ELSE 0 END) AS neutral, sum(CASE WHEN defect_type = 0 THEN area ELSE 0 END) AS tail
 FROM (SELECT DISTINCT frame FROM facets) f LEFT JOIN (SELECT frame, area, defect_type FROM facets WHERE defect) d USING (frame) GROUP BY ROLLUP (f.frame))
-SELECT coalesce(CAST(frame AS VARCHAR), 'all') AS frame, round(neutral, 4) AS neutral, round(tail, 4) AS tail, round(coalesce(100 * neutral / nullif(neutral + tail, 0), 0), 4) AS neutral_percent, round(coalesce(100 * tail / nullif(neutral + tail, 0), 0), 4) AS tail_percent FROM s""", ("facets",))
+SELECT coalesce(CAST(frame AS VARCHAR), 'all') AS frame, round(neutral, 7) AS neutral, round(tail, 7) AS tail, round(coalesce(100 * neutral / nullif(neutral + tail, 0), 0), 7) AS neutral_percent, round(coalesce(100 * tail / nullif(neutral + tail, 0), 0), 7) AS tail_percent FROM s""", ("facets",))
 def type_area_rollup(spark, t):
     """Area by defect type, per frame and pooled."""
-    return _pooled(_round(stats.type_areas(t("facets").where("defect"), t("facets")), 4))
+    return _pooled(_round(stats.type_areas(t("facets").where("defect"), t("facets")), 7))
 
 
 @query("SELECT frame, round(lx, 6) AS lx, round(ly, 6) AS ly, round(lz, 6) AS lz FROM box", ("box",))
