@@ -42,6 +42,8 @@ PIVOTS = 8
 CUT_ROWS = 256
 #: Points of an R-tree's leaf, children of a node.
 LEAF, FAN = 16, 8
+#: Pairs whose whole sets are in a Python worker at once.
+SET_ROWS = 50
 #: Bits of the filter that tells which documents' sets are needed.
 FILTER_BITS = 20
 
@@ -300,7 +302,9 @@ def near_components(docs: DataFrame) -> DataFrame:
         # the filter lets a few others through; the joins by document leave them out
         sets = materialize(rows.where("doc_id IS NOT NULL").mapInArrow(lambda b: _sets(b, sent.value), "doc long, set binary"), "sets")
         whole = lambda x: sets.select(F.col("doc").alias(x), F.col("set").alias(f"s{x}"))
+        small_batches(spark, SET_ROWS)
         links = materialize(bounded.join(whole("b"), "b").join(whole("a"), "a").mapInPandas(_verified, "a long, b long").distinct(), "links")
+        small_batches(spark, 1000)
         discard(bounded, sets)
         return links
 
@@ -351,3 +355,20 @@ def representatives(docs: DataFrame) -> DataFrame:
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents."""
     return near_components(table(spark, sf_dir, "documents"))
+
+
+#: The same by all pairs that share a shingle, in DuckDB.
+OP10_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS m FROM n UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.v),
+c AS (SELECT v, min(m) AS m FROM r GROUP BY v)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.m, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.v = w.doc_id
+"""

@@ -165,3 +165,36 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' counts and verdicts; the texts are read once, their counts kept for the verdicts."""
     counted = materialize(features(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text"), "quality")
     return verdicts(counted, language_references(counted)).drop("lang")
+
+
+def _sql() -> str:
+    """op1_quality in DuckDB."""
+    words_, common = r"[^\x20\x09-\x0D]+", _common_words()
+    count = lambda p: f"len(regexp_extract_all(t, '{p}'))"
+    q = lambda p: p.replace("'", "''")
+    classes = {"capitals": r"[\p{Lu}\p{Lt}]", "digits": "[0-9]", "marks": f"[{_MARKS}]", "symbols": "[#*$%&|<>]", "signs": f"[{_SIGNS}]"}
+    of = [count(q(p)) for p in classes.values()] + ["length(t) - length(array_to_string(w, ''))", count(q(rf"[^\p{{L}}\p{{M}}0-9{_MARKS}#*$%&|<>{_SIGNS}\x20\x09-\x0D]"))]
+    found = ", ".join(f"(length(p) - length(replace(p, ' {w} ', ''))) // {len(w) + 2}" for w in common)
+    shares = lambda c: f"list_transform({c}, lambda x: x / greatest(list_sum({c}), 1))"
+    mean = lambda c, n: ", ".join(f"sum({c}[{i + 1}])" for i in range(n))
+    js = lambda p, r: f"round(sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: CASE WHEN {p}[i] > 0 THEN {p}[i] * log2(2 * {p}[i] / ({p}[i] + {r}[i])) ELSE 0 END + CASE WHEN {r}[i] > 0 THEN {r}[i] * log2(2 * {r}[i] / ({p}[i] + {r}[i])) ELSE 0 END)) / 2, 0)), 6)"
+    scaled = lambda c: f"list_transform({c}, lambda x: round(x / n, 9))"
+    return f"""
+WITH c AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{words_}') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1))) AS i, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM c),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), (SELECT unnest(range({WINDOW})) AS k) WHERE c > 1 GROUP BY doc_id),
+f AS (SELECT c.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {count("[#*$%&|<>]")} AS n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{words_}'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{words_}')))) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words, [{", ".join(of)}] AS kinds, length(t) AS size, ' ' || regexp_replace(lower(t), '{q(rf"[\x20\x09-\x0D{_MARKS}]+")}', '  ', 'g') || ' ' AS p FROM c LEFT JOIN r ON r.doc_id = c.doc_id),
+h AS (SELECT *, [{found}] AS hits FROM f),
+s AS (SELECT * EXCLUDE (kinds, p, size, hits), {shares("list_prepend(size - list_sum(kinds), kinds)")} AS a, {shares("list_append(hits, greatest(n_words - list_sum(hits), 0))")} AS b FROM h),
+l AS (SELECT lang, count(*) AS n, [{mean("a", 8)}] AS a, [{mean("b", len(common) + 1)}] AS b FROM s WHERE n_words >= {LEAST_WORDS_COMMON} GROUP BY GROUPING SETS ((lang), ()) ),
+o AS (SELECT max(n) AS whole FROM l),
+m AS (SELECT lang, {scaled("a")} AS ra, {scaled("b")} AS rb FROM l, o WHERE n * {MOST_LANGUAGES} >= whole AND lang IS NOT NULL),
+d AS (SELECT {scaled("a")} AS ra, {scaled("b")} AS rb FROM l, o WHERE n = whole AND lang IS NULL),
+j AS (SELECT s.*, coalesce(m.ra, d.ra) AS ra, coalesce(m.rb, d.rb) AS rb FROM s LEFT JOIN m ON m.lang = s.lang LEFT JOIN d ON true),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN n_words >= {LEAST_WORDS_CLASSES} THEN {js("a", "ra")} END AS js_classes, CASE WHEN n_words >= {LEAST_WORDS_COMMON} THEN {js("b", "rb")} END AS js_common FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(js_classes, 0) > {MOST_CLASSES} AND NOT coalesce(js_common, 0) > {MOST_COMMON} AS kept, js_classes, js_common FROM v"""
+
+
+OP1_SQL = _sql()

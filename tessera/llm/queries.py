@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_quality": quality.OP1_SQL,
     "op3_url_filter": hostrank.OP3_SQL,
     "op4_exact_topk": topk.OP4_SQL,
+    "op10_near_join": nearjoin.OP10_SQL,
 }
