@@ -115,7 +115,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "vec
 def scaled(embeddings: DataFrame) -> DataFrame:
     """vec_id and vector, each component x turned to floor(256 * x), as double; non-finite components stay for the search to leave out."""
     finite = lambda x: F.floor(F.greatest(F.least(x * 256, F.lit(9e18)), F.lit(-9e18))).cast("double")
-    return embeddings.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(finite(x))).alias("vector"))
+    return embeddings.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(finite(x))).alias("vector"))
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
