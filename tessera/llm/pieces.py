@@ -49,7 +49,9 @@ class Sampler:
                 self.bytes[i] = piece.replace(_SPACE_MARK, " ").encode()
                 if model.get_score(i) > -1e8 and b" " not in self.bytes[i][1:]:
                     plain[self.bytes[i]] = i, -model.get_score(i)
-        self.space_id = self.bytes.index(b" ", 259)
+        # the model gives the mark alone no score; it stands behind all others
+        self.space_id = model.piece_to_id(_SPACE_MARK)
+        plain[b" "] = self.space_id, float(n)
         self.single = {p for p in plain if len(p.decode()) == 1}
         self.tables = {}
         for length in sorted({len(p) for p in plain}):
