@@ -58,6 +58,10 @@ def repeated_words(ws: Column) -> Column:
 
     Windows are told apart by 64-bit hashes; only if some are equal are the windows themselves sorted and compared.
     """
+    return _let(ws, _repeated)
+
+
+def _repeated(ws: Column) -> Column:
     at = lambda a, i: [F.get(a, i + k) for k in range(WINDOW)]
     starts = F.when(F.size(ws) >= WINDOW, F.sequence(F.lit(0), F.greatest(F.size(ws) - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     single = F.transform(ws, lambda w: F.xxhash64(w))
@@ -156,9 +160,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with the columns they had."""
-    held = docs.select(F.struct("*").alias("_row"), "lang", "text")
-    return verdicts(features(held), language_references(features(docs.select("lang", "text")))).where("kept").select("_row.*")
+    """The rows of docs that pass, with the columns they had.
+
+    Counts are written beside the rows first: a filter on them must not pull their expressions apart.
+    """
+    counted = materialize(features(docs.select(F.struct("*").alias("_row"), "lang", "text")).drop("text"), "quality")
+    return verdicts(counted, language_references(counted)).where("kept").select("_row.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

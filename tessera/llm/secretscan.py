@@ -199,13 +199,16 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every secret of a text turned to MASK; all rows and columns stay."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    values = F.when(body.rlike(CANDIDATE), F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)))
-    between = F.when(body.rlike(CANDIDATE), F.split(body, CANDIDATE, -1))
     model = forest(docs.sparkSession)
-    marked = docs.withColumns({"_values": values, "_between": between})
-    one = lambda v, i: F.transform(F.array(F.array(*features(v, F.right(F.get("_between", i), F.lit(BEFORE)), F.left(F.get("_between", i + 1), F.lit(AFTER))))), lambda x: F.when(F.round(model.column(x), 6) >= THRESHOLD, MASK).otherwise(v))[0]
-    masked = F.concat(F.get("_between", F.lit(0)), F.array_join(F.transform("_values", lambda v, i: F.concat(one(v, i), F.get("_between", i + 1))), ""))
-    return marked.withColumn("text", F.when(F.col("_values").isNull(), F.col("text")).otherwise(masked)).drop("_values", "_between")
+
+    def masked(s: Column) -> Column:
+        """The parts between candidates and the candidates, each as it is or masked."""
+        around = lambda v, i: features(v, F.right(F.get(s["between"], i), F.lit(BEFORE)), F.left(F.get(s["between"], i + 1), F.lit(AFTER)))
+        one = lambda v, i: F.transform(F.array(F.array(*around(v, i))), lambda x: F.when(F.round(model.column(x), 6) >= THRESHOLD, MASK).otherwise(v))[0]
+        return F.concat(F.get(s["between"], F.lit(0)), F.array_join(F.transform(s["found"], lambda v, i: F.concat(one(v, i), F.get(s["between"], i + 1))), ""))
+
+    parts = F.struct(F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(body, CANDIDATE, -1).alias("between"))
+    return docs.withColumn("text", F.when(body.rlike(CANDIDATE), F.transform(F.array(parts), masked)[0]).otherwise(F.col("text")))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
