@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, materialize, small_batches, table, word_count
 from tessera.llm.components import components
-from tessera.llm.kernels import mix, signed, word_hashes
+from tessera.llm.kernels import give_back, mix, signed, word_hashes
 
 SHINGLE = 5
 #: Linked from so many hundredths of the union on.
@@ -116,6 +116,7 @@ def _digest(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.nd
             rows.append((k, len(s), h1, h2, signed(first), count_vector(s).tobytes(), fine_vector(s)))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.binary())], names=["doc_id", "n", "h1", "h2", "prefix", "counts", "fine"])
+    give_back()
 
 
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +235,7 @@ def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.Re
         if len(wanted):
             sets = shingle_sets(batch.column(1).take(pa.array(wanted)).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(keys[wanted]), pa.array([signed(s).tobytes() for s in sets], pa.binary())], names=["doc", "set"])
+    give_back()
 
 
 def filter_place(ids: np.ndarray) -> np.ndarray:
@@ -256,6 +258,7 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
             ok[i] = 100 * both >= PERCENT * (len(s) + len(t) - both)
         yield x.loc[ok, ["a", "b"]]
+    give_back()
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -272,13 +275,14 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     # classes of equal sets, known by their smallest document
     real = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    classes = digests.where(real).groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc"))
+    # written first, so that the join below is dealt by itself and a class of very many copies can be split
+    classes = materialize(digests.where(real).groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc")), "classes")
     members = materialize(digests.where(real).select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("doc_id", "doc", "n"), "members")
     leaders = members.where("doc_id = doc").select("doc", "n").distinct()
     points = materialize(digests.where(real).join(leaders, (F.col("doc_id") == F.col("doc")) & (digests["n"] == leaders["n"]), "left_semi").select(F.col("doc_id").alias("doc"), "n", "prefix", "counts", "fine").dropDuplicates(["doc", "n"]), "points")
 
     heads = materialize(digests.select("doc_id", "n"), "heads")
-    discard(digests)
+    discard(digests, classes)
 
     # blocks: the classes whose prefixes share a shingle
     dealt = points.select("doc", "n", F.explode("prefix").alias("shingle"))

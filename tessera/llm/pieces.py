@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches, table
-from tessera.llm.kernels import HashTable, SpanHashes, hash_spans, mix
+from tessera.llm.kernels import HashTable, SpanHashes, give_back, hash_spans, mix
 
 #: How strongly likelier pieces are preferred: weights are (rank + 2) ** -ALPHA.
 ALPHA = 1.0
 SEED = 20
 #: Texts are sampled together in groups of about so many bytes.
-GROUP_BYTES = 3 << 20
+GROUP_BYTES = 3 << 19
 #: Probabilities are rounded to so many bits, so that they add up alike in any batch.
 _SHARE_BITS = 32
 _SPACE_MARK = "▁"
@@ -253,6 +253,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, seed: int, digest: boo
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, values)], names=[*batch.schema.names, "ids"])
+        give_back()
 
 
 def encode(docs: DataFrame, path: str, seed: int = SEED) -> DataFrame:
@@ -261,7 +262,7 @@ def encode(docs: DataFrame, path: str, seed: int = SEED) -> DataFrame:
     A null text counts as empty and has no ids; a text that comes again under the same id has the same ids. Rows are
     encoded one by one, so partitioning, retries and order change nothing.
     """
-    small_batches(docs.sparkSession, 4000)
+    small_batches(docs.sparkSession, 2000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(lambda b: _encode(b, path, seed, False), "doc_id long, text string, ids array<int>")
 
@@ -283,6 +284,6 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents")
-    small_batches(spark, 4000)
+    small_batches(spark, 2000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(lambda b: _encode(b, path, SEED, True), "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")
