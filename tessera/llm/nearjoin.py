@@ -347,7 +347,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     first = groups.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     first = materialize(first, "representatives")
     empty = F.col("doc_id").isNull() | (word_count(F.col("text")) == 0)
-    kept = docs.where(~empty).join(first.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    # the ids grow with the table, so texts and ids are dealt alike at every size
+    kept = docs.where(~empty).join(first.where("rows = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     again = first.where("rows > 1").select("doc_id")
     if not again.isEmpty():
         order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
