@@ -12,6 +12,7 @@ record, int64 doc_id, uint64 offset and uint64 length of the whole record.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -31,7 +32,7 @@ _HEAD = struct.Struct("<QI")
 _PAYLOAD = struct.Struct("<qB3xI")
 _INDEX = struct.Struct("<qQQ")
 #: Words whose ids a worker keeps in each of two generations; the memory stays bounded, the results don't depend on it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 _ODD = r"\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff"
 #: A space after a character that is no kind of white space: no token of the vocabulary's pattern crosses it.
 _CUT = re.compile(rf"(?<=[^{_ODD}])(?= )")
@@ -116,6 +117,8 @@ class Encoder:
     """Token ids of whole texts by the tokenizers library; ids of words that come again are kept."""
 
     def __init__(self, path: str):
+        # a worker has one core; the library's own threads would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
