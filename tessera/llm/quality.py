@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,16 @@ WINDOW = 5
 MOST_LANGUAGES = 256
 #: Texts of fewer words are not held against a histogram: of character classes, of common words.
 LEAST_WORDS_CLASSES, LEAST_WORDS_COMMON = 20, 50
-#: A text fails whose Jensen-Shannon distance from its reference (0 to 1) is above this: of character classes, of common words.
+#: A text fails whose Jensen-Shannon distance from its reference (0 to 1) is above this: of character classes, of common words (for texts that common_limits() has no limit for).
 MOST_CLASSES, MOST_COMMON = 0.3, 0.5
+#: A text's limit for common words holds if its language lets so many of them be expected in it: none at all then comes about once in 3,000 texts.
+LEAST_EXPECTED = 8
+#: A limit lies so many times the way from the lowest tenth to the median above the median, but at most at this share of the distance of a text without common words.
+SPREADS, MOST_OF_NONE = 6, 0.98
+#: Lengths are classed by the binary digits of the number of words; a class of fewer documents takes the limit of the next shorter one.
+LENGTHS, LEAST_DOCS = 24, 30
+#: Distances are counted in bins of this width.
+BIN = 0.004
 
 # Frequent function words of English, German, French and Spanish.
 COMMON = {
@@ -130,6 +140,51 @@ def language_references(counted: DataFrame) -> list[tuple[str | None, list[float
     return [(r.lang, *[[round(r[f"{c}{i}"] / r.n, 9) for i in range(w)] for c, w in _WIDTHS.items()]) for r in rows]
 
 
+def _length_class(n: Column) -> Column:
+    return F.least(F.length(F.bin(n)), F.lit(LENGTHS - 1)).cast("int")
+
+
+def _distance_from(p: list[float], q: list[float]) -> float:
+    part = lambda x, y: x * math.log2(2 * x / (x + y)) if x > 0 else 0.0
+    return math.sqrt(max(sum(part(x, y) + part(y, x) for x, y in zip(p, q, strict=True)) / 2, 0.0))
+
+
+def common_limits(held: DataFrame, references: list[tuple[str | None, list[float], list[float]]]) -> list[tuple[str, float, list[float]]]:
+    """Of each language with a reference of its own: key, expected share of common words and the greatest js_common by class of length.
+
+    held: _key, n_words and js_common of all documents. A limit follows from the median and the lowest tenth of a class,
+    which junk hardly moves, and is wider for short texts, whose distances scatter more; it is always below the distance of
+    a text without any common word. A null or rare language has no limit: its texts may have other common words. Only
+    counts by bin come to the driver, at most LENGTHS / BIN for each of MOST_LANGUAGES.
+    """
+    bins = held.where((F.col("_key") != "*") & F.col("js_common").isNotNull()).groupBy("_key", _length_class(F.col("n_words")).alias("k"), F.floor(F.col("js_common") / BIN).cast("int").alias("bin")).count().collect()
+    counts: dict[tuple[str, int], dict[int, int]] = {}
+    for r in bins:
+        counts.setdefault((r["_key"], r["k"]), {})[r["bin"]] = r["count"]
+
+    def quantile(of: dict[int, int], share: float) -> float:
+        seen, whole = 0, sum(of.values())
+        for b in sorted(of):
+            seen += of[b]
+            if seen >= share * whole:
+                return (b + 0.5) * BIN
+        return 0.0
+
+    out = []
+    for lang, _, b in references:
+        if lang is not None:
+            none = MOST_OF_NONE * _distance_from([0.0] * (len(b) - 1) + [1.0], b)
+            limits, last = [], none
+            for k in range(LENGTHS):
+                of = counts.get((f"={lang}", k), {})
+                if sum(of.values()) >= LEAST_DOCS:
+                    mid = quantile(of, 0.5)
+                    last = min(none, mid + SPREADS * max(mid - quantile(of, 0.1), BIN))
+                limits.append(round(last, 6))
+            out.append((f"={lang}", round(1 - b[-1], 9), limits))
+    return out
+
+
 def verdicts(counted: DataFrame, references: list[tuple[str | None, list[float], list[float]]]) -> DataFrame:
     """counted with base_failed, js_classes, js_common and kept."""
     known = [r[0] for r in references if r[0] is not None]
@@ -143,16 +198,19 @@ def verdicts(counted: DataFrame, references: list[tuple[str | None, list[float],
             "js_common": F.when(n >= LEAST_WORDS_COMMON, F.round(distance(_shares(_with_others(F.col("found"), n)), F.col("_rb")), 6)),
         }
     )
-    verdict = ~F.col("base_failed") & ~(F.coalesce("js_classes", F.lit(0.0)) > MOST_CLASSES) & ~(F.coalesce("js_common", F.lit(0.0)) > MOST_COMMON)
-    return held.withColumn("kept", verdict).drop("_key", "_ra", "_rb", "classes", "found")
+    limits = counted.sparkSession.createDataFrame(common_limits(held, references), "_key string, _share double, _limits array<double>")
+    most = F.when(n * F.col("_share") >= LEAST_EXPECTED, F.get("_limits", _length_class(n))).otherwise(MOST_COMMON)
+    verdict = ~F.col("base_failed") & ~(F.coalesce("js_classes", F.lit(0.0)) > MOST_CLASSES) & ~(F.coalesce("js_common", F.lit(0.0)) > most)
+    return held.join(F.broadcast(limits), "_key", "left").withColumn("kept", verdict).drop("_key", "_ra", "_rb", "_share", "_limits", "classes", "found")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_classes, js_common and kept.
 
     A null text counts as empty and fails the base rules. A text below a guard's number of words isn't held against
-    that histogram (its distance is null). A language that is null or rare is held against the whole table's
-    reference; with no reference at all nothing is rejected for its divergence. Other columns stay, those of the same
+    that histogram (its distance is null). How far a text's common words may be off follows from the distances of its
+    language's documents of about its length (common_limits). A language that is null or rare is held against the whole
+    table's reference, for common words by MOST_COMMON; with no reference at all nothing is rejected for its divergence. Other columns stay, those of the same
     names as the new ones are replaced. Rows are judged one by one: repeated rows get equal verdicts.
     """
     counted = features(docs)
