@@ -21,6 +21,8 @@ from tessera.streaming import resume
 LOW, HIGH, LEAST_P = 15.0, 250.0, 1e-4
 #: Points of the sampling grid and candidates per bead in the coverage queries; cutoffs of the spatial ones.
 GRID, NEAREST, CUTOFF, PAIRING = 5, 6, 8.0, 6.0
+#: Candidates per bead in the queries of the whole job, whose grid is cov.GRID.
+WHOLE_NEAREST = 48
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -392,6 +394,32 @@ def head_veto_antijoin(spark, t):
     return cov.head_veto(tris, t("beads"), spatial.k_nearest(t("beads"), _mids(tris), NEAREST), GRID)
 
 
+def _whole(spark, t) -> tuple[DataFrame, DataFrame]:
+    """All triangles, whichever will prove to be defects, and each bead's nearest of them."""
+    tris = spark.sql(_TRIS.removesuffix(" WHERE defect"), facets=t("facets"))
+    return tris, spatial.k_nearest(t("beads"), _mids(tris), WHOLE_NEAREST)
+
+
+@query()
+def knn_join_whole(spark, t):
+    """knn_join over all triangles, with as many candidates as the reference's default."""
+    return _round(_whole(spark, t)[1])
+
+
+@query()
+def coverage_classify_whole(spark, t):
+    """coverage_classify over all triangles, with the reference's candidates and samples."""
+    tris, near = _whole(spark, t)
+    return _round(cov.classify(tris, t("beads"), near))
+
+
+@query()
+def head_veto_antijoin_whole(spark, t):
+    """head_veto_antijoin over all triangles, with the reference's candidates and samples."""
+    tris, near = _whole(spark, t)
+    return cov.head_veto(tris, t("beads"), near)
+
+
 @query(""", hv AS (SELECT vid, CAST(vid % 97 AS DOUBLE) / 97 - 0.5 AS h FROM vertices), th AS (SELECT frame, side, tri_id, area, CAST(floor(tri_id / 10) AS BIGINT) AS cluster, (a.h + b.h + c.h) / 3 AS h FROM facets JOIN hv a ON a.vid = v0 JOIN hv b ON b.vid = v1 JOIN hv c ON c.vid = v2)
 SELECT frame, side, cluster, round(sum(area), 6) AS area, round(sum(area * h) / sum(area), 6) + 0.0 AS h FROM th GROUP BY ALL""", ("facets", "vertices"))
 def cluster_h(spark, t):
