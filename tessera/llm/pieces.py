@@ -27,8 +27,9 @@ class Sampler:
     """The piece lattice of a SentencePiece model.
 
     The model's scores are merge ranks, not log probabilities, so a piece of rank r weighs (r + 2) ** -ALPHA. Spaces
-    stand for the model's space mark; a text starts with one more. No piece crosses from another character to a space,
-    and none but the mark's single piece and bytes hold white space, so words with the space before them are sampled one by one.
+    stand for the model's space mark; a text starts with one more. The mark alone and its runs, to which the model gives
+    no score, stand behind all others. Texts are cut beside white space where no piece of the model crosses, and what
+    lies between the cuts (for most models words with the spaces before them) is sampled one by one.
     Characters without a piece of their own, and the mark itself where the text has it, go as byte pieces.
     """
 
@@ -47,11 +48,20 @@ class Sampler:
                 self.bytes[i], self.byte_id[value] = bytes([value]), i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.bytes[i] = piece.replace(_SPACE_MARK, " ").encode()
-                if model.get_score(i) > -1e8 and b" " not in self.bytes[i][1:]:
+                if not self.bytes[i].strip(b" "):
+                    plain[self.bytes[i]] = i, float(n)
+                elif model.get_score(i) > -1e8:
                     plain[self.bytes[i]] = i, -model.get_score(i)
-        # the model gives the mark alone no score; it stands behind all others
-        self.space_id = model.piece_to_id(_SPACE_MARK)
-        plain[b" "] = self.space_id, float(n)
+        plain[b" "] = model.piece_to_id(_SPACE_MARK), float(n)
+        white, used, joined = np.zeros(256, bool), np.zeros(256, bool), np.zeros((256, 256), bool)
+        white[[9, 10, 11, 12, 13, 32]] = True
+        for p in plain:
+            b = np.frombuffer(p, np.uint8)
+            used[b] = joined[b[:-1], b[1:]] = True
+        joined[32] |= ~white
+        #: White space that no piece but its byte's holds; whether to cut between two bytes (the first counts 256 times).
+        self.alone = white & ~used
+        self.cut = (~joined & (white[:, None] | white)).ravel()
         self.single = {p for p in plain if len(p.decode()) == 1}
         self.tables = {}
         for length in sorted({len(p) for p in plain}):
@@ -165,18 +175,14 @@ class Sampler:
         buf = np.frombuffer(big, np.uint8)
         sizes = np.array([len(t) + 1 if t else 0 for t in texts])
         begin = np.cumsum(sizes) - sizes
-        white = np.zeros(256, bool)
-        white[[9, 10, 11, 12, 13, 32]] = True
-        space = white[buf]
-        before = np.concatenate([[True], space[:-1]])
-        starts = np.flatnonzero(before & ~space)
-        ends = np.flatnonzero(space & ~before)
-        # texts end without white space: a word at the end of one must stop where the next begins, which is a space
-        led = buf[starts - 1] == 32
-        starts = starts - led
-        gap = space[:-1].copy()
-        gap[starts[led]] = False
-        gaps = np.flatnonzero(gap)
+        body = buf[:-1]
+        fresh = np.ones(len(body), bool)
+        fresh[1:] = self.cut[(body[:-1].astype(np.uint16) << 8) | body[1:]]
+        fresh[begin[sizes > 0]] = True
+        starts = np.flatnonzero(fresh)
+        ends = np.append(starts[1:], len(body))[: len(starts)]
+        alone = self.alone[body[starts]]
+        gaps, starts, ends = starts[alone], starts[~alone], ends[~alone]
         hashes = hash_spans(buf, starts, ends)
         _, some, which = np.unique(hashes, return_index=True, return_inverse=True)
         first = np.concatenate([[0], np.cumsum(ends[some] - starts[some])])
@@ -213,7 +219,7 @@ class Sampler:
         total = np.zeros(int(sizes_.sum()), np.int32)
         for k, (x, y) in enumerate(zip(at, got, strict=True)):
             total[offset[x] + count[x] - 1 - k] = y
-        total[offset[len(starts) :]] = np.where(buf[gaps] == 32, self.space_id, self.byte_id[buf[gaps]])
+        total[offset[len(starts) :]] = self.byte_id[buf[gaps]]
         bounds = np.searchsorted(items[rank], np.append(begin, len(buf) - 1))
         cuts = np.append(offset[rank], len(total))[bounds]
         return [total[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

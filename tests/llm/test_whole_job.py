@@ -1,8 +1,13 @@
 """What a review found the operators to leave out."""
 
+import collections
+
 import numpy as np
+import pytest
+
+from tessera.llm import pieces, quality
 
-from tessera.llm import quality
+P = pytest.importorskip("public_tokenizers")
 
 COMMON = {"en": "the of and to in is", "fr": "le la les de des et"}
 
@@ -24,3 +29,37 @@ def test_common_words(spark):
     assert [k for k, *_ in clean if not got[k].kept] == []
     assert [k for k, *_ in odd if got[k].kept] == []
     assert got[7000].js_common is not None and got[7001].js_common is not None
+
+
+@pytest.mark.parametrize("text", [" {\r\n", "a();\r\n\r\n", "    if", "x   \n", "\r\r\r", "a\x0cb", "\r\n      })\r\n", "é  \r日", "   "])
+def test_lattice_with_white_space(text):
+    """CRLF, indented and other text in which pieces hold white space: sampled with the whole text's lattice's weights."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    model, sp = pieces.sampler(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    n = sp.get_piece_size()
+    own = {sp.id_to_piece(i).replace("▁", " "): (i, (2 + n if not sp.id_to_piece(i).strip("▁") else 2 - sp.get_score(i)) ** -pieces.ALPHA) for i in range(3, n) if not sp.is_byte(i) and (sp.get_score(i) > -1e8 or not sp.id_to_piece(i).strip("▁"))}
+    byte = (n + 2.0) ** -pieces.ALPHA
+
+    def all_of(s):
+        if not s:
+            yield (), 1.0
+            return
+        if s[0] not in own:
+            b = s[0].encode()
+            for rest, p in all_of(s[1:]):
+                yield (*(int(model.byte_id[x]) for x in b), *rest), byte ** len(b) * p
+        for k in range(1, len(s) + 1):
+            if s[:k] in own:
+                for rest, p in all_of(s[k:]):
+                    yield (own[s[:k]][0], *rest), own[s[:k]][1] * p
+
+    want = dict(all_of(" " + text))
+    whole, many = sum(want.values()), 20_000
+    got = model.encode([text] * many, pieces.row_seeds(list(range(many))))
+    seen = collections.Counter(tuple(x.tolist()) for x in got)
+    assert set(seen) <= set(want) and max(abs(seen[k] / many - p / whole) for k, p in want.items()) < 0.015
+    assert model.decode(got[0]) == text
+    mixed = ["", text, "a ", text, "", " b", text + " "]
+    assert [model.decode(x) for x in model.encode(mixed, pieces.row_seeds(list(range(7))))] == mixed
