@@ -7,8 +7,8 @@ import numpy as np
 from tessera.llm.kernels import HashTable, Words, hash_spans, mix
 from tessera.llm.langid import _BETWEEN, fold
 
-#: Words of a window, and from one window's start to the next: windows overlap.
-WINDOW, STRIDE = 32, 24
+#: Words of a window, and from one window's start to the next: windows overlap by half, so a passage of up to that many words and one more is whole in one of them.
+WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 #: Buckets of hashed character trigrams.
 BUCKETS = 4096

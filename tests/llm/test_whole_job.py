@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from tessera.llm import pieces, quality
+from tessera.llm import gru, pieces, quality
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -63,3 +63,14 @@ def test_lattice_with_white_space(text):
     assert model.decode(got[0]) == text
     mixed = ["", text, "a ", text, "", " b", text + " "]
     assert [model.decode(x) for x in model.encode(mixed, pieces.row_seeds(list(range(7))))] == mixed
+
+
+def test_passages_lie_whole_in_a_window():
+    """A passage of half a window, across every border of windows, in texts of many lengths."""
+    vocabulary = gru.Toxicity([], np.zeros(0)).vocabulary
+    half = gru.WINDOW // 2
+    for n in [*range(half, 4 * gru.WINDOW), 500]:
+        batch = gru.Batch([" ".join(["word"] * n)], vocabulary)
+        end = batch.start + batch.length
+        assert (batch.start == np.arange(len(end)) * gru.STRIDE).all() and end.max() == n
+        assert all(((batch.start <= at) & (at + half <= end)).any() for at in range(n - half + 1))
