@@ -34,8 +34,8 @@ _INDEX = struct.Struct("<qQQ")
 #: Words whose ids a worker keeps in each of two generations; the memory stays bounded, the results don't depend on it.
 CACHE_WORDS = 400_000
 _ODD = r"\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff"
-#: A space after a character that is no kind of white space: no token of the vocabulary's pattern crosses it.
-_CUT = re.compile(rf"(?<=[^{_ODD}])(?= )")
+#: A space or line end after a character that is no kind of white space: no token of the vocabulary's pattern crosses it.
+_CUT = re.compile(rf"(?<=[^{_ODD}])(?= (?!\n)|\n)")
 #: Words that end in what may be white space.
 _LAST = re.compile(rf"[{_ODD}]$")
 
@@ -105,12 +105,17 @@ _WIDE = (b"\xc2", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80
 
 
 def cut(text: str) -> list[str]:
-    """A text's words as one list: the first as it is, the others without the space before them."""
+    """A text's words as one list: the first as it is, the others without the space before them but with a line end before them."""
     raw = text.encode()
-    if b"  " not in raw.translate(_PLAIN) and text[:1] != " " and text[-1:] != " " and (text.isascii() or not any(w in raw for w in _WIDE)):
-        return text.split(" ")  # each space is a place to cut at
+    if b"  " not in raw.translate(_PLAIN) and text[:1] not in " \n" and text[-1:] != " " and (text.isascii() or not any(w in raw for w in _WIDE)):
+        return text.replace("\n", " \n").split(" ")  # each space and line end is a place to cut at
     head, *rest = _CUT.split(text)
-    return [head, *[w[1:] for w in rest]]
+    return [head, *[w if w[0] == "\n" else w[1:] for w in rest]]
+
+
+def _joined(word: str) -> str:
+    """A word with what stands before it; none but those after a line end begin with one."""
+    return word if word[:1] == "\n" else " " + word
 
 
 class Encoder:
@@ -134,21 +139,22 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> None:
-        """Encodes words that follow a space, many joined in one text where no token can cross from one to the next."""
+        """Encodes words that follow a space or line end, many joined in one text where no token can cross from one to the next."""
         loose = [w for w in fresh if not w or _LAST.search(w)]
-        self.kept.update(zip(loose, self._plain([" " + w for w in loose]), strict=True))
+        self.kept.update(zip(loose, self._plain([_joined(w) for w in loose]), strict=True))
         tight = [w for w in fresh if w not in self.kept] if loose else fresh
         groups = [tight[i : i + 512] for i in range(0, len(tight), 512)]
-        texts = [" " + " ".join(g) for g in groups]
-        for group, text, e in zip(groups, texts, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        spaced = [[_joined(w) for w in g] for g in groups]
+        texts = ["".join(g) for g in spaced]
+        for group, whole, text, e in zip(groups, spaced, texts, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, "<u4")
-            lengths = map(len, group) if text.isascii() else [len(w.encode()) for w in group]
-            at = (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(lengths, np.int64, len(group)) + 1)) + 1) * 4
+            lengths = map(len, whole) if text.isascii() else [len(w.encode()) for w in whole]
+            at = (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(lengths, np.int64, len(group)))) + 1) * 4
             data, at = ids.tobytes(), at.tolist()
             self.kept.update(zip(group, map(data.__getitem__, map(slice, [0, *at], at)), strict=False))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """As encode(text, add_special_tokens=False).ids of each text. Texts are cut before spaces that no token crosses."""
+        """As encode(text, add_special_tokens=False).ids of each text. Texts are cut before spaces and line ends that no token crosses."""
         words = [cut(t) for t in texts]
         heads = self._plain([w[0] for w in words])
         rest = [w[1:] for w in words]
@@ -156,9 +162,9 @@ class Encoder:
         if len(self.kept) > CACHE_WORDS:
             self.kept, self.older = {}, self.kept
         fresh = seen.difference(self.kept)
-        again = fresh.intersection(self.older)
-        self.kept.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        self._learn(list(fresh - again))
+        older = self.older
+        self.kept.update([(w, older[w]) for w in fresh if w in older])
+        self._learn([w for w in fresh if w not in older])
         get = self.kept.__getitem__
         return [np.frombuffer(h + b"".join(map(get, ws)), "<u4") for h, ws in zip(heads, rest, strict=True)]
 
