@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import discard, materialize, table
 
 #: (rule, verdict): host and path; the longest that fits wins.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Share of a host's score that its links pass on, and rounds of propagation.
-DAMPING, ROUNDS = 0.85, 12
-#: A host is blocked whose distrust exceeds its trust by so much (a host whose every page is blocked has 1 by itself).
+#: Share of a score that links pass on, and rounds of propagation; what later rounds would add is under DAMPING ** (ROUNDS + 1), two thousandths of the whole.
+DAMPING, ROUNDS = 0.85, 38
+#: A host is blocked whose distrust is at least so much more than its trust (a host whose every page is blocked has 1 by itself, one whose every link leads there DAMPING).
 MARGIN = 0.5
 #: Rounds between two materialised steps.
 CUT_EVERY = 4
+#: Scores that move by no more have settled.
+SETTLED = 1e-12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
+_HREF = r"""(?i)<a\b[^>]*?[\s"']href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -51,29 +53,38 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     """host, score: personalised PageRank from seeds (host, seed >= 0) along edges (src, dst, share), times 1 / (1 - damping).
 
     Each round is a join of edges with scores on src and a pre-aggregated sum per dst; hot hosts are split by adaptive
-    skew joins. Every CUT_EVERY rounds the scores are written to the shared folder.
+    skew joins. Every CUT_EVERY rounds the scores are written to the shared folder, and if nothing moved since, the
+    rounds end.
     """
     scores = seeds.select("host", F.col("seed").alias("score"))
     if edges.isEmpty():
         return scores
     edges = materialize(edges, "edges")
     seeds = materialize(seeds, "seeds")
-    scores = seeds.select("host", F.col("seed").alias("score"))
+    scores = scores_then = seeds.select("host", F.col("seed").alias("score"))
     for i in range(rounds):
         passed = edges.join(scores, edges.src == scores.host).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         both = seeds.select("host", F.col("seed").alias("score")).unionByName(passed.select(F.col("dst").alias("host"), (F.col("got") * damping).alias("score")))
         scores = both.groupBy("host").agg(F.sum("score").alias("score"))
-        if (i + 1) % CUT_EVERY == 0:
-            scores = materialize(scores, "scores")
+        if (i + 1) % CUT_EVERY == 0 and i + 1 < rounds:
+            old, scores = scores_then, materialize(scores, "scores")
+            settled = scores.join(old.withColumnRenamed("score", "was"), "host", "left").where(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))) > SETTLED).isEmpty()
+            discard(old)
+            scores_then = scores
+            if settled:
+                break
     return scores
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page.
 
-    A host's seed of trust (distrust) is the share of its pages that rules allow (block). Trust flows along links,
-    distrust against them. Pages that no rule fits get their host's verdict: block if distrust exceeds trust by MARGIN,
-    else allow. Null or broken urls have an empty host, which takes no part in the graph and is allowed. Repeated pages count each.
+    A host's seed of trust (distrust) is the share of its pages that rules allow (block). Trust flows along links, each
+    host dealing its own out by weight. Distrust flows against them: a host takes on the mean distrust of what it links
+    to, however many others link there too, so one bad link among a hundred weighs a hundredth. Pages that no rule fits
+    get their host's verdict: block if distrust is MARGIN or more above trust, else allow. Null or broken urls have an
+    empty host, which takes no part in the graph and is allowed. Repeated pages count each; an empty table gives no rows;
+    whole pages are searched for links; other columns don't matter.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
@@ -82,9 +93,8 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     hosts = materialize(placed.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
     edges = materialize(host_edges(pages), "links")
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    into = edges.groupBy("dst").agg(F.sum("weight").alias("into"))
     forward = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share"))
-    backward = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("into")).alias("share"))
+    backward = forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
     trust = propagate(forward, hosts.select("host", F.col("allowed").alias("seed"))).withColumnRenamed("score", "trust")
     distrust = propagate(backward, hosts.select("host", F.col("blocked").alias("seed"))).withColumnRenamed("score", "distrust")
     scored = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
@@ -115,7 +125,7 @@ def _sql() -> str:
         "l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '%s', 1)) AS target FROM p)" % _HREF.replace("'", "''"),
         f"e AS (SELECT * FROM (SELECT src, {host("CASE WHEN starts_with(target, '//') THEN 'http:' || target ELSE target END")} AS dst, count(*) AS weight FROM l GROUP BY ALL) WHERE src <> '' AND dst <> '' AND src <> dst)",
         "f AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM e)",
-        "b AS (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS share FROM e)",
+        "b AS (SELECT dst AS src, src AS dst, share FROM f)",
     ]
     for kind, seed, edges in (("t", "allowed", "f"), ("d", "blocked", "b")):
         parts.append(f"{kind}0 AS (SELECT host, {seed} AS score FROM h)")
