@@ -96,7 +96,7 @@ def _reversed_bits(x: Column, bits: int) -> Column:
 
 
 def schedule(targets: DataFrame) -> DataFrame:
-    """The mix's slots: slot (their order), k, source, rank (of the slot within its source), block and words it takes.
+    """The mix's slots: slot (their order), k, rank (of the slot within its source), turn (how often its source was gone through before), block and words it takes.
 
     Slot t stands for van der Corput's point t. Points are mapped through the sources' cumulative numbers of slots;
     a source gets as many as it has slots, spread evenly over the whole schedule.
@@ -113,16 +113,18 @@ def schedule(targets: DataFrame) -> DataFrame:
     block = F.col("rank") % F.col("blocks")
     whole = F.least(F.lit(BLOCK), F.col("source_size") - F.col("block") * BLOCK)
     last = (F.col("rank") == F.col("slots") - 1) & (F.col("rest") > 0)
-    return ranked.withColumn("block", block).select("slot", "k", "rank", "block", F.when(last, F.least(whole, F.col("rest") - (F.ceil(F.col("rest") / BLOCK) - 1) * BLOCK)).otherwise(whole).cast("long").alias("words"))
+    return ranked.withColumn("block", block).select("slot", "k", "rank", F.floor(F.col("rank") / F.col("blocks")).cast("int").alias("turn"), "block", F.when(last, F.least(whole, F.col("rest") - (F.ceil(F.col("rest") / BLOCK) - 1) * BLOCK)).otherwise(whole).cast("long").alias("words"))
 
 
 def mix(sized: DataFrame) -> DataFrame:
-    """Adds source_size, target and taken to a table of uid, doc_id, source and size (words, long).
+    """Adds source_size, target, taken and slots to a table of uid, doc_id, source and size (words, long).
 
     Each source's rows are shuffled by a hash of doc_id, laid end to end and cut to blocks of BLOCK words; the
     schedule's slots take blocks in turn, the last slot of a source only the words that its target still lacks.
-    taken is the number of words the slots take of a row, repeats counted: never over REPEATS times its size. Rows of
-    no words take none; equal rows stand beside each other; a null source is a source of its own, and comes last.
+    taken is the number of words the slots take of a row, repeats counted: never over REPEATS times its size. slots holds
+    the first slot of each turn that takes words of the row, so the schedule's order is the mix's order. Rows of no
+    words take none and have no slots; equal rows stand beside each other; a null source is a source of its own, and
+    comes last; an empty table gives no rows.
     """
     sized = materialize(sized.select("uid", "doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("k"), "size"), "mix-sizes")
     n = sized.count()
@@ -131,26 +133,32 @@ def mix(sized: DataFrame) -> DataFrame:
     laid = running_totals(sized, "k", shuffled, 48, "size", ["doc_id", "size", "uid"], "at", n)
     cut = laid.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / BLOCK).cast("long"), F.floor((F.col("at") + F.col("size") - 1) / BLOCK).cast("long"))))
     first, end = F.greatest("at", F.col("block") * BLOCK), F.col("at") + F.col("size")
-    joined = cut.join(schedule(targets).select("k", "block", "words"), ["k", "block"])
-    taken = joined.groupBy("uid").agg(F.sum(F.greatest(F.lit(0).cast("long"), F.least(end, F.col("block") * BLOCK + F.col("words")) - first)).alias("taken"))
+    joined = cut.join(schedule(targets).select("k", "block", "words", "slot", "turn"), ["k", "block"])
+    part = F.greatest(F.lit(0).cast("long"), F.least(end, F.col("block") * BLOCK + F.col("words")) - first)
+    firsts = [F.min(F.when(F.col("turn") == i, F.col("slot"))) for i in range(REPEATS)]
+    taken = joined.withColumn("part", part).where("part > 0").groupBy("uid").agg(F.sum("part").alias("taken"), F.filter(F.array(*firsts), lambda x: x.isNotNull()).alias("slots"))
     return (
         sized.join(taken, "uid", "left")
         .join(targets.select("k", "source_size", "target"), "k")
-        .select("uid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("uid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", F.array().cast("array<long>")).alias("slots"))
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, source, text and any others) as the mix holds them: rows come as often as the mix takes them, to the nearest whole; rows it doesn't take are left out."""
+    """docs (doc_id, source, text and any others) as the mix holds them: rows come as often as the mix takes them, to the nearest whole; rows it doesn't take are left out.
+
+    Each partition is in the schedule's order, by the slot where a copy begins; as rows are dealt to partitions by hash,
+    whoever reads a file from its start finds the sources in their shares all along.
+    """
     named = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "mix-rows")
     sized = named.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), word_count(F.col("row.text")).alias("size"))
-    copies = mix(sized).where("size > 0").select("uid", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("copies")).where("copies > 0")
-    return named.join(copies, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    each = mix(sized).where("size > 0").select("uid", F.slice("slots", 1, copies).alias("slots")).where(F.size("slots") > 0)
+    return named.join(each, "uid").select("row", F.explode("slots").alias("slot")).sortWithinPartitions("slot").select("row.*")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents."""
+    """The mix of all documents: how much of each is taken, and the slot of the schedule where it first comes (null: never)."""
     docs = table(spark, sf_dir, "documents")
     sized = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix(sized).drop("uid")
-
+    return mix(sized).withColumn("first_slot", F.get("slots", F.lit(0))).drop("uid", "slots")
