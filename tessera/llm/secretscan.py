@@ -182,17 +182,22 @@ def forest(spark: SparkSession) -> Forest:
     return _trained(spark.sparkContext.applicationId)
 
 
-def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per candidate of each whole text: key, ord (from 0), value, score (mean vote) and secret.
-
-    Null and empty texts have none; a value that comes again in a text is a candidate each time. Other columns don't matter.
-    """
+def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per candidate of each whole text: key, ord (from 0), value, and up to BEFORE and AFTER characters around it, as far as the neighbouring candidates."""
     body = F.coalesce(F.col(text), F.lit(""))
     hit = docs.select(F.col(key), body.alias("_text")).where(F.col("_text").rlike(CANDIDATE))
     parts = hit.select(key, F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)).alias("_values"), F.split("_text", CANDIDATE, -1).alias("_between"))
     each = parts.select(key, "_between", F.posexplode("_values").alias("ord", "value"))
-    around = each.select(key, "ord", "value", F.right(F.get("_between", F.col("ord")), F.lit(BEFORE)).alias("_b"), F.left(F.get("_between", F.col("ord") + 1), F.lit(AFTER)).alias("_a"))
-    scored = around.withColumn("_x", F.array(*features(F.col("value"), F.col("_b"), F.col("_a")))).withColumn("score", F.round(forest(docs.sparkSession).column(F.col("_x")), 6))
+    return each.select(key, "ord", "value", F.right(F.get("_between", F.col("ord")), F.lit(BEFORE)).alias("_b"), F.left(F.get("_between", F.col("ord") + 1), F.lit(AFTER)).alias("_a"))
+
+
+def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per candidate of each whole text: key, ord (from 0), value, score (mean vote) and secret.
+
+    Null and empty texts and empty tables have none; a value that comes again in a text is a candidate each time, and
+    repeated rows are each searched. A score of just THRESHOLD makes a secret. Other columns don't matter.
+    """
+    scored = candidates(docs, key, text).withColumn("_x", F.array(*features(F.col("value"), F.col("_b"), F.col("_a")))).withColumn("score", F.round(forest(docs.sparkSession).column(F.col("_x")), 6))
     return scored.select(key, "ord", "value", "score", (F.col("score") >= THRESHOLD).alias("secret"))
 
 
@@ -212,5 +217,6 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates of all documents and their verdicts."""
-    return findings(table(spark, sf_dir, "documents"))
+    """All candidates of all documents and their verdicts; the values as their SHA-256 and length, so that no secret leaves in clear."""
+    found = findings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "ord", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").alias("length"), "score", "secret")
