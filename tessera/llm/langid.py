@@ -10,11 +10,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table
+from tessera.llm.common import materialize, small_batches, table
 from tessera.llm.kernels import HashTable, Words, hash_spans, mix
 
-#: Bounds of the learned model: languages (the most frequent), labelled documents for each (those of the smallest hashes), words kept of each.
-MOST_LANGUAGES, SAMPLE_DOCS, MODEL_WORDS = 256, 1200, 20_000
+#: Bounds of the learned model: labelled documents for each language (those of the smallest hashes), and for all languages together (one for each at least).
+SAMPLE_DOCS, SAMPLE_ALL = 1200, 40_000
 #: A word seen less often in the sample counts as unseen; it still teaches n-grams.
 LEAST_COUNT = 2
 #: Lengths of the n-grams that unseen words fall back to, in turn. Word ends count as a character.
@@ -34,21 +34,27 @@ def held_out(parts: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == rest, F.lit(False))
 
 
-def word_counts(labelled: DataFrame, per_language: int = SAMPLE_DOCS, most_words: int = MODEL_WORDS) -> list[tuple[str, str, int]]:
-    """(lang, word, count) of the words of a bounded sample of labelled documents (doc_id, text, lang), at most most_words for each language."""
-    common = labelled.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(MOST_LANGUAGES).collect()
-    if not common:
+def word_counts(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tuple[str, str, int]]:
+    """(lang, word, count) of all words of a bounded sample of labelled documents (doc_id, text, lang), every language among them."""
+    per = materialize(labelled.groupBy("lang").agg(F.count("*").alias("docs")), "languages")
+    n_languages = per.count()
+    if not n_languages:
         return []
-    # hashes below a share of their range first, so that ranks are taken over few rows even of a language with a third of all
-    share = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, 4 * per_language / r.docs)) for r in common], "lang string, share double")
+    per_language = max(1, min(per_language, SAMPLE_ALL // n_languages))
+    # hashes below a share of their range first, so that ranks are taken over few rows even of a language with a third of all; a small language comes whole
+    share = per.select("lang", F.when(F.col("docs") <= 16 * per_language, F.lit(1.0)).otherwise(4.0 * per_language / F.col("docs")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    near = labelled.select("doc_id", "lang", place.alias("place")).join(F.broadcast(share), "lang").where(F.col("place") < F.col("share") * (1 << 40))
+    near = labelled.select("doc_id", "lang", place.alias("place")).join(share, "lang").where(F.col("place") < F.col("share") * (1 << 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     picked = near.withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
-    sample = labelled.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[\x00-\x60\x7b-\x7f]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
-    return [(r.lang, r.word, r["count"]) for r in words.withColumn("r", rank).where(F.col("r") <= most_words).select("lang", "word", "count").collect()]
+    sample = labelled.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")  # at most SAMPLE_ALL ids, or one for each language
+    words = sample.select("lang", F.explode(F.split("text", r"[\x00-\x40\x5b-\x60\x7b-\x7f]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
+    # folded here as texts are folded for a prediction
+    out: dict[tuple[str, str], int] = {}
+    for r in words.toLocalIterator():
+        key = r.lang, r.word.lower()
+        out[key] = out.get(key, 0) + r["count"]
+    return [(lang, word, n) for (lang, word), n in sorted(out.items())]
 
 
 def _gram_hashes(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,9 +152,13 @@ def learn(docs: DataFrame, test) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each document, by its text alone; held_out is passed through."""
+    """doc_id, held_out, lang_pred and score of each document, by its text alone; held_out is passed through.
+
+    Null texts and those without a letter are und, as are all where nothing was learned. Of equally likely languages the
+    first by name wins. Rows are judged one by one, whole; an empty table gives no rows; other columns don't matter.
+    """
     small_batches(docs.sparkSession, 2000)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES and MODEL_WORDS
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     return docs.select("doc_id", "held_out", "text").mapInArrow(lambda b: _identify(b, sent.value), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
