@@ -9,33 +9,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table, word_count
+from tessera.llm.common import materialize, small_batches, table, word_count
 from tessera.llm.gru import Toxicity, train
 from tessera.llm.langid import held_out
 
-#: Bounds of the training sample: labelled documents of each label (those of the smallest hashes), their words, words of the vocabulary.
-SAMPLE_DOCS, SAMPLE_WORDS, MODEL_WORDS = 1500, 1500, 20_000
+#: Bounds of the training sample, for each label: documents (those of the smallest hashes), and words after which no more documents are taken; words of the vocabulary.
+SAMPLE_DOCS, SAMPLE_WORDS, MODEL_WORDS = 1500, 600_000, 20_000
 #: A document counts as toxic from this score on.
 THRESHOLD = 0.7
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list:
-    """(text, toxic) of at most SAMPLE_DOCS labelled documents of each label and at most SAMPLE_WORDS words, in the order of their hashes."""
+    """(text, toxic) of at most SAMPLE_DOCS labelled documents of each label, in the order of their hashes, until they have SAMPLE_WORDS words.
+
+    Labels of other rows than docs' are never looked at, not even counted. Null texts teach nothing; a document with
+    unlike labels counts as toxic, equal rows count once.
+    """
     known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = materialize(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled")
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 40))
     share = F.when(F.col("toxic") == 1, min(1.0, 2 * SAMPLE_DOCS / max(1, n.get(1, 0)))).otherwise(min(1.0, 2 * SAMPLE_DOCS / max(1, n.get(0, 0))))
-    some = known.withColumn("place", place).where(F.col("place") < share * (1 << 40)).limit(16 * SAMPLE_DOCS)
-    # the rows are few by their limit; the texts stay where they are
-    fit = docs.where(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id").where(word_count(F.col("text")) <= SAMPLE_WORDS)
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("place", "doc_id", F.xxhash64("text")))
-    return fit.withColumn("r", rank).where(F.col("r") <= SAMPLE_DOCS).orderBy("toxic", "r").select("text", "toxic").collect()
+    near = known.withColumn("place", place).where(F.col("place") < share * (1 << 40))
+    first = Window.partitionBy("toxic").orderBy("place", "doc_id")
+    some = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 2 * SAMPLE_DOCS).drop("r")
+    # the ids are few; the texts stay where they are until it is known which are taken
+    hashed = docs.where(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id").withColumn("h", F.xxhash64("text"))
+    sized = hashed.select("doc_id", "h", "toxic", "place", word_count(F.col("text")).alias("n")).dropDuplicates(["doc_id", "h"])
+    order = Window.partitionBy("toxic").orderBy("place", "doc_id", "h")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = materialize(sized.withColumns({"r": F.row_number().over(order), "before": before}).where((F.col("r") <= SAMPLE_DOCS) & (F.col("before") < SAMPLE_WORDS)).select("doc_id", "h", F.col("r"), "toxic"), "sample")
+    texts = docs.where(F.col("text").isNotNull()).withColumn("h", F.when(F.col("doc_id").isNotNull(), F.xxhash64("text"))).join(F.broadcast(taken), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    return texts.orderBy("toxic", "r").select("text", "toxic").collect()
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     """doc_id, held_out, score and predicted of each document, by its whole text alone.
 
-    Null texts and those without words score 0. Rows are scored one by one, so repeated texts score alike.
+    Null texts and those without words score 0. Rows are scored one by one, so repeated texts score alike; an empty table
+    gives no rows, and without labelled rows all scores are those of the untrained network. Other columns don't matter.
     """
     small_batches(docs.sparkSession, 1000)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS
