@@ -15,7 +15,7 @@ from tessera.plans.ship import ship
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 
-#: Set where spark.checkpoint.dir is unset, as in tests.
+#: Set where spark.checkpoint.dir is unset and all runs on one machine, as in tests.
 OWN_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -32,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
         # the setting can't be changed once a session runs, so the folder is held by the context
         made = spark.sparkContext.getCheckpointDir()
         if not made:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(OWN_CHECKPOINTS)
             made = spark.sparkContext.getCheckpointDir()
         found = made
