@@ -18,11 +18,45 @@ ALPHA = 1.0
 SEED = 20
 #: Texts are sampled together in groups of about so many bytes.
 GROUP_BYTES = 3 << 19
+#: Lattices of units that come again are kept for the next texts: of units of at most so many bytes, and until they have so many arcs; then a worker starts anew. Results don't depend on it.
+KEPT_BYTES, KEPT_ARCS = 64, 4_000_000
 #: Probabilities are rounded to so many bits, so that they add up alike in any batch.
 _SHARE_BITS = 32
 _SPACE_MARK = "▁"
 
 
+class Lattices:
+    """Forward-filtered lattices of units, from which segmentations are drawn backwards."""
+
+    def __init__(self, node0: np.ndarray, length: np.ndarray, rank: np.ndarray, key: np.ndarray, back: np.ndarray, ids: np.ndarray):
+        #: Of each unit: its first node and its bytes. Of each node: its rank. Of each arc: rank of its end and cumulative probability, start node, piece.
+        self.node0, self.length, self.rank, self.key, self.back, self.ids = node0, length, rank, key, back, ids
+
+    def joined(self, other: Lattices) -> Lattices:
+        """These units and behind them the other's."""
+        nodes, ranks = len(self.rank), int(self.key[-1] >> _SHARE_BITS) if len(self.key) else 0
+        both = lambda a, b: np.concatenate([a, b])
+        # a cumulative probability of one carries to the next rank
+        return Lattices(both(self.node0, other.node0 + nodes), both(self.length, other.length), both(self.rank, (other.rank + ranks).astype(np.int32)), both(self.key, other.key + (ranks << _SHARE_BITS)), both(self.back, (other.back + nodes).astype(self.back.dtype)), both(self.ids, other.ids))
+
+    def sample(self, units: np.ndarray, state: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each step back from the end: which draws take a piece, and the pieces. A draw is a unit and its state of chance."""
+        out = []
+        stop = self.node0[units]
+        node = stop + self.length[units]
+        live = np.argsort(units)  # neighbours look up neighbouring nodes
+        step = 0
+        while len(live):
+            with np.errstate(over="ignore"):
+                u = (mix(state[live] + np.uint64(step) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - _SHARE_BITS)).astype(np.int64)
+            arc = np.searchsorted(self.key, (self.rank[node[live]].astype(np.int64) << _SHARE_BITS) + u, side="right")
+            out.append((live, self.ids[arc]))
+            node[live] = self.back[arc]
+            live = live[node[live] > stop[live]]
+            step += 1
+        return out
+
+
 class Sampler:
     """The piece lattice of a SentencePiece model.
 
@@ -69,6 +103,9 @@ class Sampler:
             buf = np.frombuffer(b"".join(own), np.uint8)
             at = np.arange(len(own)) * length
             self.tables[length] = HashTable(hash_spans(buf, at, at + length)), np.array([plain[p][0] for p in own], np.int32), -ALPHA * np.log(np.array([plain[p][1] for p in own]) + 2)
+        self.kept: Lattices | None = None
+        self.places: HashTable | None = None
+        self.hashes = np.zeros(0, np.uint64)
         self.byte_logp = -ALPHA * np.log(n + 2)
         singles = sorted(self.single)
         by_length = {k: sorted(p for p in singles if len(p) == k) for k in (1, 2, 3, 4)}
@@ -169,6 +206,40 @@ class Sampler:
             out += self._encode(group, seeds[done : done + len(group)])
         return out
 
+    def _filtered(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Lattices:
+        """The lattices of the units at the given places of buf, in their order."""
+        first = np.concatenate([[0], np.cumsum(ends - starts)])
+        place = np.arange(first[-1]) + np.repeat(starts - first[:-1], np.diff(first))
+        dst, src, ids, logp = self._lattice(buf[place], first)
+        node0, rank, key, back, order = self._forward(first, dst, src, logp)
+        return Lattices(node0, np.diff(first), rank, key, back, ids[order])
+
+    def _known(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[Lattices, np.ndarray, Lattices, np.ndarray]:
+        """Lattices of all units: kept ones and the places in them (-1: none), and fresh ones with the places of the other units."""
+        if self.kept is not None and len(self.kept.key) > KEPT_ARCS:
+            self.kept = self.places = None
+        at = np.full(len(starts), -1)
+        if self.kept is not None:
+            hit, where = self.places.find(hashes)
+            at[hit] = where
+        left = np.flatnonzero(at < 0)
+        _, some, which, times = np.unique(hashes[left], return_index=True, return_inverse=True, return_counts=True)
+        some = left[some]
+        again = (times > 1) & (ends[some] - starts[some] <= KEPT_BYTES)
+        place = np.cumsum(again) - 1
+        if again.any():
+            made = self._filtered(buf, starts[some[again]], ends[some[again]])
+            old = 0 if self.kept is None else len(self.kept.node0)
+            self.kept = made if self.kept is None else self.kept.joined(made)
+            self.hashes = np.concatenate([self.hashes[:old], hashes[some[again]]])
+            self.places = HashTable(self.hashes)
+            at[left] = np.where(again[which], old + place[which], -1)
+        place = np.where(again, -1, np.cumsum(~again) - 1)
+        rest = np.full(len(starts), -1)
+        rest[left] = place[which]
+        fresh = self._filtered(buf, starts[some[~again]], ends[some[~again]])
+        return self.kept, at, fresh, rest
+
     def _encode(self, texts: list[bytes], seeds: np.ndarray) -> list[np.ndarray]:
         # each text as a space and its bytes; a last space ends the buffer
         big = b"".join(b" " + t if t else b"" for t in texts) + b" "
@@ -179,49 +250,33 @@ class Sampler:
         fresh = np.ones(len(body), bool)
         fresh[1:] = self.cut[(body[:-1].astype(np.uint16) << 8) | body[1:]]
         fresh[begin[sizes > 0]] = True
-        starts = np.flatnonzero(fresh)
-        ends = np.append(starts[1:], len(body))[: len(starts)]
-        alone = self.alone[body[starts]]
-        gaps, starts, ends = starts[alone], starts[~alone], ends[~alone]
-        hashes = hash_spans(buf, starts, ends)
-        _, some, which = np.unique(hashes, return_index=True, return_inverse=True)
-        first = np.concatenate([[0], np.cumsum(ends[some] - starts[some])])
-        place = np.arange(first[-1]) + np.repeat(starts[some] - first[:-1], np.diff(first))
-        dst, src, ids, logp = self._lattice(buf[place], first)
-        node0, rank_of, key, back, order = self._forward(first, dst, src, logp)
-        ids = ids[order]
-        del dst, src, logp, order, place
-        doc = np.searchsorted(begin, starts, side="right") - 1
-        ordinal = (starts - begin[doc]).astype(np.uint64)
+        items = np.flatnonzero(fresh)
+        alone = self.alone[body[items]]
+        units = np.flatnonzero(~alone)
+        starts = items[units]
+        ends = np.append(items[1:], len(body))[units]
+        doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, np.append(begin, len(body)))))
         with np.errstate(over="ignore"):
-            state = mix(seeds[doc] + ordinal * np.uint64(0x9E3779B97F4A7C15))
-        node = node0[which] + np.diff(first)[which]
-        live = np.argsort(which, kind="stable")  # neighbours look up neighbouring nodes
-        stop = node0[which]
-        at, got, step_no = [], [], 0
-        while len(live):
-            with np.errstate(over="ignore"):
-                u = (mix(state[live] + np.uint64(step_no) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - _SHARE_BITS)).astype(np.int64)
-            arc = np.searchsorted(key, (rank_of[node[live]].astype(np.int64) << _SHARE_BITS) + u, side="right")
-            at.append(live)
-            got.append(ids[arc])
-            node[live] = back[arc]
-            live = live[node[live] > stop[live]]
-            step_no += 1
+            state = mix(seeds[doc] + (starts - begin[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        kept, at_kept, new, at_new = self._known(buf, starts, ends, hash_spans(buf, starts, ends))
+        drawn = []
+        for lattices, at in ((kept, at_kept), (new, at_new)):
+            mine = np.flatnonzero(at >= 0)
+            if len(mine):
+                drawn += [(mine[x], y, k) for k, (x, y) in enumerate(lattices.sample(at[mine], state[mine]))]
+        sizes_ = np.ones(len(items), np.int64)
         count = np.zeros(len(starts), np.int64)
-        for x in at:
+        for x, _, _ in drawn:
             count[x] += 1
-        items = np.concatenate([starts, gaps])
-        sizes_ = np.concatenate([count, np.ones(len(gaps), np.int64)])
-        rank = np.argsort(items, kind="stable")
-        offset = np.empty(len(items), np.int64)
-        offset[rank] = np.cumsum(sizes_[rank]) - sizes_[rank]
+        sizes_[units] = count
+        offset = np.cumsum(sizes_) - sizes_
         total = np.zeros(int(sizes_.sum()), np.int32)
-        for k, (x, y) in enumerate(zip(at, got, strict=True)):
-            total[offset[x] + count[x] - 1 - k] = y
-        total[offset[len(starts) :]] = self.byte_id[buf[gaps]]
-        bounds = np.searchsorted(items[rank], np.append(begin, len(buf) - 1))
-        cuts = np.append(offset[rank], len(total))[bounds]
+        last = offset[units] + count - 1
+        for x, y, k in drawn:
+            total[last[x] - k] = y
+        gaps = np.flatnonzero(alone)
+        total[offset[gaps]] = self.byte_id[body[items[gaps]]]
+        cuts = np.append(offset, len(total))[np.searchsorted(items, np.append(begin, len(body)))]
         return [total[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -25,7 +25,7 @@ def test_common_words(spark):
     # a rare language and a null one may have common words of their own
     other = [(7000, "xx", prose("en", 7000, 200, 0.0)), (7001, None, prose("en", 7001, 200, 0.0))]
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(clean + odd + other, "doc_id long, lang string, text string")).collect()}
-    assert not any(got[k].base_failed or got[k].js_classes > quality.MOST_CLASSES or got[k].js_common > quality.MOST_COMMON for k in got)
+    assert not any(got[k].base_failed or got[k].js_classes > quality.MOST_CLASSES or got[k].js_common > 0.5 for k in got)
     assert [k for k, *_ in clean if not got[k].kept] == []
     assert [k for k, *_ in odd if got[k].kept] == []
     assert got[7000].js_common is not None and got[7001].js_common is not None
@@ -74,3 +74,15 @@ def test_passages_lie_whole_in_a_window():
         end = batch.start + batch.length
         assert (batch.start == np.arange(len(end)) * gru.STRIDE).all() and end.max() == n
         assert all(((batch.start <= at) & (at + half <= end)).any() for at in range(n - half + 1))
+
+
+def test_kept_lattices_change_nothing(monkeypatch):
+    texts = [prose("en", i % 30, 200) + " " + "word " * (i % 4) + "z" * (90 * (i % 3)) for i in range(60)]
+    path = P.path("piece_bpe_32k.model")
+    want = pieces.Sampler(path).encode(texts, pieces.row_seeds(list(range(60))))
+    for group, arcs in ((4000, 500), (900, 10_000), (1 << 20, 0)):
+        monkeypatch.setattr(pieces, "GROUP_BYTES", group)
+        monkeypatch.setattr(pieces, "KEPT_ARCS", arcs)
+        model = pieces.Sampler(path)
+        got = model.encode(texts, pieces.row_seeds(list(range(60))))
+        assert all(a.tolist() == b.tolist() for a, b in zip(got, want, strict=True))
