@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +34,8 @@ _PAYLOAD = struct.Struct("<qB3xI")
 _INDEX = struct.Struct("<qQQ")
 #: Words whose ids a worker keeps in each of two generations; the memory stays bounded, the results don't depend on it.
 CACHE_WORDS = 400_000
+#: Texts are encoded together in groups of about so many characters.
+GROUP_CHARS = 1 << 22
 _ODD = r"\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff"
 #: A space or line end after a character that is no kind of white space: no token of the vocabulary's pattern crosses it.
 _CUT = re.compile(rf"(?<=[^{_ODD}])(?= (?!\n)|\n)")
@@ -102,13 +105,20 @@ def read_index(path: str) -> list[tuple[int, int, int]]:
 #: Bytes of ASCII that may be white space, and beginnings of wider characters that may be.
 _PLAIN = bytes(32 if b <= 32 or b == 127 else b for b in range(256))
 _WIDE = (b"\xc2", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbb")
+#: A word of Latin letters, behind a line end or not, and the signs after it, which the vocabulary's pattern parts from the letters.
+_LETTERS = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([#*$%&|<>.,;:!?]*)")
+
+
+def _is_plain(text: str) -> bool:
+    """Whether each space and line end of a text is a place to cut at."""
+    raw = text.encode()
+    return b"  " not in raw.translate(_PLAIN) and text[:1] not in " \n" and text[-1:] != " " and (text.isascii() or not any(w in raw for w in _WIDE))
 
 
 def cut(text: str) -> list[str]:
     """A text's words as one list: the first as it is, the others without the space before them but with a line end before them."""
-    raw = text.encode()
-    if b"  " not in raw.translate(_PLAIN) and text[:1] not in " \n" and text[-1:] != " " and (text.isascii() or not any(w in raw for w in _WIDE)):
-        return text.replace("\n", " \n").split(" ")  # each space and line end is a place to cut at
+    if _is_plain(text):
+        return text.replace("\n", " \n").split(" ")
     head, *rest = _CUT.split(text)
     return [head, *[w if w[0] == "\n" else w[1:] for w in rest]]
 
@@ -118,6 +128,13 @@ def _joined(word: str) -> str:
     return word if word[:1] == "\n" else " " + word
 
 
+def _byte_letters() -> str:
+    """The characters by which byte-level vocabularies write the 256 bytes: themselves where they show, else from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
+
+
 class Encoder:
     """Token ids of whole texts by the tokenizers library; ids of words that come again are kept."""
 
@@ -127,6 +144,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        # what is asked for is new to this class, so the library's own table of words would only cost
+        self.merges = self.model.model
+        self.merges._resize_cache(0)
+        self.letters = dict(enumerate(_byte_letters()))
+        self.raw = [struct.pack("<I", i) for i in range(self.model.get_vocab_size())]
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # a byte-level token is written with one character for each of its bytes, an added one as it is
@@ -138,8 +160,35 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pretoken(self, before: str, shown: str) -> bytes:
+        """Ids of letters or signs that the vocabulary's pattern takes as one with the space (or nothing) before them, as the vocabulary writes it."""
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.raw[t.id] for t in self.merges.tokenize(before + shown)])
+
     def _learn(self, fresh: list[str]) -> None:
-        """Encodes words that follow a space or line end, many joined in one text where no token can cross from one to the next."""
+        """Encodes words that follow a space or line end: letters and the signs after them each by itself, any others by the whole tokenizer."""
+        others = []
+        kept, pretoken = self.kept, self._pretoken
+        signs: dict[str, bytes] = {"": b""}
+        space, line = self.letters[32], pretoken(self.letters[10], "")
+        for w in fresh:
+            if not (found := _LETTERS.fullmatch(w)):
+                others.append(w)
+                continue
+            end, letters, after = found.groups()
+            base = end + letters
+            if (ids := kept.get(base) or self.older.get(base)) is None:
+                ids = kept[base] = line + pretoken("", letters) if end else pretoken(space, letters)
+            if after:
+                if (tail := signs.get(after)) is None:
+                    tail = signs[after] = pretoken("", after)
+                ids += tail
+            kept[w] = ids
+        self._learn_others(others)
+
+    def _learn_others(self, fresh: list[str]) -> None:
+        """Encodes words, many joined in one text where no token can cross from one to the next."""
         loose = [w for w in fresh if not w or _LAST.search(w)]
         self.kept.update(zip(loose, self._plain([_joined(w) for w in loose]), strict=True))
         tight = [w for w in fresh if w not in self.kept] if loose else fresh
@@ -153,20 +202,53 @@ class Encoder:
             data, at = ids.tobytes(), at.tolist()
             self.kept.update(zip(group, map(data.__getitem__, map(slice, [0, *at], at)), strict=False))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """As encode(text, add_special_tokens=False).ids of each text. Texts are cut before spaces and line ends that no token crosses."""
-        words = [cut(t) for t in texts]
-        heads = self._plain([w[0] for w in words])
-        rest = [w[1:] for w in words]
-        seen = set().union(*rest)
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of unlike words that follow a space or line end."""
         if len(self.kept) > CACHE_WORDS:
             self.kept, self.older = {}, self.kept
-        fresh = seen.difference(self.kept)
-        older = self.older
-        self.kept.update([(w, older[w]) for w in fresh if w in older])
-        self._learn([w for w in fresh if w not in older])
-        get = self.kept.__getitem__
-        return [np.frombuffer(h + b"".join(map(get, ws)), "<u4") for h, ws in zip(heads, rest, strict=True)]
+        kept, older = self.kept, self.older
+        fresh = []
+        for w in words:
+            if w not in kept:
+                if (ids := older.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    kept[w] = ids
+        self._learn(fresh)
+        return list(map(kept.__getitem__, words))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """As encode(text, add_special_tokens=False).ids of each text. Texts are cut before spaces and line ends that no token crosses."""
+        if not texts:
+            return []
+        plain = [_is_plain(t) for t in texts]
+        order = sorted(range(len(texts)), key=lambda i: not plain[i])
+        whole = pa.array([texts[i] for i in order if plain[i]], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(whole, "\n", " \n"), " ")
+        odd = [cut(texts[i]) for i in order if not plain[i]]
+        rest = pa.array([w for ws in odd for w in ws], pa.large_string())
+        flat = pa.chunked_array([split.flatten(), rest]).combine_chunks()
+        first = np.concatenate([[0], np.cumsum(np.concatenate([pc.list_value_length(split).to_numpy(), np.fromiter(map(len, odd), np.int64, len(odd))]))]).astype(np.int64)
+        # the first word of a text follows neither space nor line end, so it isn't looked up among the others
+        heads = self._plain(flat.take(pa.array(first[:-1])).to_pylist())
+        inner = np.ones(len(flat), bool)
+        inner[first[:-1]] = False
+        found = flat.filter(pa.array(inner)).dictionary_encode()
+        known = [*self._ids(found.dictionary.to_numpy(zero_copy_only=False).tolist()), *heads]
+        code = np.empty(len(flat), np.int64)
+        code[inner] = found.indices.to_numpy()
+        code[first[:-1]] = len(known) - len(heads) + np.arange(len(heads))
+        pool = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin = np.cumsum(size) - size
+        counts = size[code]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = pool[np.repeat(begin[code] - upto[:-1], counts) + np.arange(upto[-1])]
+        out: list[np.ndarray] = [ids] * len(texts)
+        ends = upto[first].tolist()
+        for i, a, b in zip(order, ends, ends[1:], strict=False):
+            out[i] = ids[a:b]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -187,6 +269,17 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     return materialize(dealt.mapInArrow(lambda b: _write(b, tokenizer, folder, end_id), "shard long, path string, index string, records long, ids long"), "manifest")
 
 
+def _groups(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts by groups of about GROUP_CHARS."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > GROUP_CHARS:
+            yield keys[start:i], texts[start:i]
+            start, size = i, 0
+        size += len(t)
+    yield keys[start:], texts[start:]
+
+
 def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_id: int) -> Iterator[pa.RecordBatch]:
     if tokenizer not in _encoders:
         _encoders[tokenizer] = Encoder(tokenizer)
@@ -201,8 +294,8 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_i
             files.create_dir(place.rpartition("/")[0], recursive=True)
             out, index = files.open_output_stream(place + ".rec"), files.open_output_stream(place + ".idx")
         keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for start in range(0, len(keys), 200):
-            for k, ids in zip(keys[start : start + 200], encoder.encode(texts[start : start + 200]), strict=True):
+        for some, group in _groups(keys, texts):
+            for k, ids in zip(some, encoder.encode(group), strict=True):
                 made = frame(k, np.append(ids, np.uint32(end_id)))
                 out.write(made)
                 index.write(_INDEX.pack(k or 0, at, len(made)))
