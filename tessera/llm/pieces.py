@@ -62,8 +62,8 @@ class Sampler:
 
     The model's scores are merge ranks, not log probabilities, so a piece of rank r weighs (r + 2) ** -ALPHA. Spaces
     stand for the model's space mark; a text starts with one more. The mark alone and its runs, to which the model gives
-    no score, stand behind all others. Texts are cut beside white space where no piece of the model crosses, and what
-    lies between the cuts (for most models words with the spaces before them) is sampled one by one.
+    no score, stand behind all others. Texts are cut between characters that no piece of the model holds side by side, where
+    the lattice falls apart; what lies between the cuts (words with the spaces before them, runs of signs) is sampled one by one.
     Characters without a piece of their own, and the mark itself where the text has it, go as byte pieces.
     """
 
@@ -86,16 +86,21 @@ class Sampler:
                     plain[self.bytes[i]] = i, float(n)
                 elif model.get_score(i) > -1e8:
                     plain[self.bytes[i]] = i, -model.get_score(i)
+        #: All pieces' bytes end to end, and each piece's place and size.
+        self.pool = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.size = np.array([len(p) for p in self.bytes])
+        self.begin = np.cumsum(self.size) - self.size
         plain[b" "] = model.piece_to_id(_SPACE_MARK), float(n)
         white, used, joined = np.zeros(256, bool), np.zeros(256, bool), np.zeros((256, 256), bool)
         white[[9, 10, 11, 12, 13, 32]] = True
+        joined[:, 0x80:0xC0] = True  # the bytes of one character stay together
         for p in plain:
             b = np.frombuffer(p, np.uint8)
             used[b] = joined[b[:-1], b[1:]] = True
         joined[32] |= ~white
         #: White space that no piece but its byte's holds; whether to cut between two bytes (the first counts 256 times).
         self.alone = white & ~used
-        self.cut = (~joined & (white[:, None] | white)).ravel()
+        self.cut = ~joined.ravel()
         self.single = {p for p in plain if len(p.decode()) == 1}
         self.tables = {}
         for length in sorted({len(p) for p in plain}):
@@ -281,7 +286,18 @@ class Sampler:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation, whichever was sampled."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))[1:].decode()
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts of segmentations."""
+        if not ids:
+            return []
+        whole = np.concatenate(ids)
+        size = self.size[whole]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        raw = self.pool[np.repeat(self.begin[whole] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        ends = upto[np.concatenate([[0], np.cumsum([len(x) for x in ids])])].tolist()
+        return [raw[a + 1 : b].decode() for a, b in zip(ends, ends[1:], strict=False)]
 
 
 _samplers: dict[str, Sampler] = {}
@@ -307,7 +323,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, seed: int, digest: boo
         keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         ids = model.encode(texts, row_seeds(keys, seed))
         if digest:
-            sound = [model.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+            sound = []
+            for at in range(0, len(ids), 200):
+                sound += [x == t for x, t in zip(model.decode_all(ids[at : at + 200]), texts[at : at + 200], strict=True)]
             crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(sound)], names=["doc_id", "n_tokens", "ids_crc32", "lossless"])
         else:
