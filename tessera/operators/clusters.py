@@ -32,7 +32,7 @@ def deduplicate(clusters: DataFrame, box: DataFrame, middle: DataFrame, toleranc
     The choice depends on its order, so each (frame, side) is judged by one task; distances are plain, also across the
     cell's faces. Adds wx and wy.
     """
-    placed = clusters.join(F.broadcast(box.select("frame", "lx", "ly")), "frame").join(middle, [*KEYS])
+    placed = clusters.join(box.select("frame", "lx", "ly"), "frame").join(middle, [*KEYS])
     placed = placed.select(*KEYS, "cluster", "n", "area", wrap(F.col("cx"), F.col("center_x"), F.col("lx")).alias("wx"), wrap(F.col("cy"), F.col("center_y"), F.col("ly")).alias("wy"))
 
     def choose(x: pd.DataFrame) -> pd.DataFrame:
@@ -68,7 +68,7 @@ def layers(members: DataFrame, paired: DataFrame, thickness: float | None = None
     middle = paired.groupBy(*KEYS).agg(F.median("thickness").alias("median"))
     level = F.coalesce(F.lit(thickness).cast("double"), F.col("median"))
     hit = F.coalesce(F.abs(F.col("thickness") - level) <= tolerance, F.lit(False))
-    joined = members.select(*KEYS, "cluster", "tri_id").join(paired.select(*KEYS, "tri_id", "thickness"), [*KEYS, "tri_id"], "left").join(F.broadcast(middle), [*KEYS], "left")
+    joined = members.select(*KEYS, "cluster", "tri_id").join(paired.select(*KEYS, "tri_id", "thickness"), [*KEYS, "tri_id"], "left").join(middle, [*KEYS], "left")
     share = joined.groupBy(*KEYS, "cluster").agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("paired_fraction"))
     return share.withColumn("region_type", F.when(F.col("paired_fraction") >= bilayer_fraction, "bilayer").otherwise("monolayer"))
 

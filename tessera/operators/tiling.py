@@ -20,14 +20,18 @@ def fallback_box(atoms: DataFrame) -> DataFrame:
 def tile(atoms: DataFrame, box: DataFrame, nx: int = 3, ny: int = 3) -> DataFrame:
     """nx by ny copies of each frame around its own (i = j = 0), shifted by its box; coordinates at three decimals as a PDB file has them."""
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-(nx // 2), nx - nx // 2) for j in range(-(ny // 2), ny - ny // 2)])
-    copies = atoms.join(F.broadcast(box.select("frame", "lx", "ly")), "frame").withColumn("_s", F.explode(shifts)).select("*", "_s.i", "_s.j").drop("_s")
+    copies = atoms.join(box.select("frame", "lx", "ly"), "frame").withColumn("_s", F.explode(shifts)).select("*", "_s.i", "_s.j").drop("_s")
     moved = {"x": F.round(F.col("x") + F.col("i") * F.col("lx"), 3), "y": F.round(F.col("y") + F.col("j") * F.col("ly"), 3), "z": F.round("z", 3)}
     own = (F.col("i") == 0) & (F.col("j") == 0)
     return copies.withColumns(moved | {"_own": own}).drop("lx", "ly")
 
 
-def cut(tiled: DataFrame, box: DataFrame, scale: float = 1.5) -> DataFrame:
-    """The copies inside a window of scale boxes around the middle of the frame itself, both ends included."""
+def cut(tiled: DataFrame, box: DataFrame, scale: float = 1.5, copies: int = 3) -> DataFrame:
+    """The copies inside a window of scale boxes (more than 0, at most the copies' extent) around the middle of the frame itself, both ends included."""
+    if not scale > 0:
+        raise ValueError("the window must be larger than nothing")
+    if scale > copies:
+        raise ValueError(f"a window of {scale} boxes doesn't fit in {copies} copies")
     return _cut(tiled, box, scale).drop("_own")
 
 
@@ -35,7 +39,7 @@ def _cut(tiled: DataFrame, box: DataFrame, scale: float) -> DataFrame:
     mid = lambda c: ((F.min(F.when(F.col("_own"), F.col(c))) + F.max(F.when(F.col("_own"), F.col(c)))) / 2).alias(f"m{c}")
     middle = tiled.groupBy("frame").agg(mid("x"), mid("y"))
     window = box.join(middle, "frame").select("frame", *[(F.col(f"m{c}") + s * scale / 2 * F.col(f"l{c}")).alias(f"{n}{c}") for c in "xy" for s, n in ((-1, "lo"), (1, "hi"))])
-    joined = tiled.join(F.broadcast(window), "frame")
+    joined = tiled.join(window, "frame")
     return joined.where(F.col("x").between(F.col("lox"), F.col("hix")) & F.col("y").between(F.col("loy"), F.col("hiy"))).drop("lox", "hix", "loy", "hiy")
 
 

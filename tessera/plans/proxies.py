@@ -23,13 +23,12 @@ VIEWS = {
                CAST(p_retailprice AS DOUBLE) / 500 AS z, p_size
         FROM part""",
     "grid_tris": """
-        SELECT a.band AS frame, CASE WHEN a.band % 2 = 0 THEN 'upper' ELSE 'lower' END AS side, 2 * a.vid + k.h AS tri_id,
-               CASE WHEN k.h = 0 THEN a.vid ELSE b.vid END AS v0, CASE WHEN k.h = 0 THEN b.vid ELSE d.vid END AS v1, c.vid AS v2,
-               CASE WHEN k.h = 0 THEN a.x ELSE b.x END AS ax, CASE WHEN k.h = 0 THEN a.y ELSE b.y END AS ay, CASE WHEN k.h = 0 THEN a.z ELSE b.z END AS az,
-               CASE WHEN k.h = 0 THEN b.x ELSE d.x END AS bx, CASE WHEN k.h = 0 THEN b.y ELSE d.y END AS by_, CASE WHEN k.h = 0 THEN b.z ELSE d.z END AS bz,
+        SELECT a.band AS frame, CASE WHEN a.band % 2 = 0 THEN 'upper' ELSE 'lower' END AS side, 2 * a.vid + a.h AS tri_id,
+               CASE WHEN a.h = 0 THEN a.vid ELSE b.vid END AS v0, CASE WHEN a.h = 0 THEN b.vid ELSE d.vid END AS v1, c.vid AS v2,
+               CASE WHEN a.h = 0 THEN a.x ELSE b.x END AS ax, CASE WHEN a.h = 0 THEN a.y ELSE b.y END AS ay, CASE WHEN a.h = 0 THEN a.z ELSE b.z END AS az,
+               CASE WHEN a.h = 0 THEN b.x ELSE d.x END AS bx, CASE WHEN a.h = 0 THEN b.y ELSE d.y END AS by_, CASE WHEN a.h = 0 THEN b.z ELSE d.z END AS bz,
                c.x AS cx_, c.y AS cy_, c.z AS cz_, a.p_size <= 25 AS defect, CASE WHEN a.p_size % 3 = 0 THEN 1 ELSE 0 END AS defect_type
-        FROM vertices a JOIN vertices b ON b.vid = a.vid + 1 JOIN vertices c ON c.vid = a.vid + 40 JOIN vertices d ON d.vid = a.vid + 41
-        JOIN (SELECT 0 AS h UNION ALL SELECT 1 AS h) k ON k.h >= a.vid - a.vid
+        FROM (SELECT *, 0 AS h FROM vertices UNION ALL SELECT *, 1 AS h FROM vertices) a JOIN vertices b ON b.vid = a.vid + 1 JOIN vertices c ON c.vid = a.vid + 40 JOIN vertices d ON d.vid = a.vid + 41
         WHERE a.vid % 40 < 39""",
     "facets": """
         SELECT *, 0.5 * sqrt(px * px + py * py + pz * pz) AS area FROM (

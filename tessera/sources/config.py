@@ -13,15 +13,18 @@ _ON, _OFF = {"on", "yes", "true", "1", "y"}, {"off", "no", "false", "0", "n"}
 
 
 def read_settings(text: str) -> dict[str, str]:
-    """Lower-cased keys and their values; a colon parts before an equals sign does."""
+    """Lower-cased keys and their values; a colon parts before an equals sign does, a line with neither raises."""
     out = {}
     for raw in text.splitlines():
         line = raw.split("#", 1)[0].strip()
-        mark = ":" if ":" in line else "=" if "=" in line else ""
-        if mark:
-            key, _, value = line.partition(mark)
-            key = key.strip().lower()
-            out[ALIASES.get(key, key)] = value.strip().strip("\"'")
+        if not line:
+            continue
+        mark = ":" if ":" in line else "="
+        key, found, value = line.partition(mark)
+        if not found:
+            raise ValueError(f"neither a colon nor an equals sign: {raw.strip()}")
+        key = key.strip().lower()
+        out[ALIASES.get(key, key)] = value.strip().strip("\"'")
     return out
 
 

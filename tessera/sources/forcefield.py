@@ -75,7 +75,7 @@ def martini_version(lines: DataFrame) -> DataFrame:
 
 def martini_sigmas(lines: DataFrame) -> DataFrame:
     """path, line_no, type, sigma_nm of self-pairs in [nonbond_params]; version 2 has C6 and C12. Such a section in a file of no known version raises."""
-    rows = _sections(lines).where("section = 'nonbond_params'").join(F.broadcast(martini_version(lines)), "path")
+    rows = _sections(lines).where("section = 'nonbond_params'").join(martini_version(lines), "path")
     pairs = rows.where("size(t) >= 5 AND t[0] = t[1]").select("path", "line_no", F.col("t")[0].alias("type"), "version", *[F.col("t")[i].try_cast("double").alias(c) for i, c in ((3, "p"), (4, "q"))])
     unknown = F.raise_error(F.concat(F.lit("no known Martini version: "), "path")).cast("double")
     sigma = F.when(F.col("version") == 3, F.col("p")).when(F.col("version") == 2, F.when((F.col("p") > 0) & (F.col("q") > 0), sigma_from_c6_c12(F.col("p"), F.col("q")))).otherwise(unknown)

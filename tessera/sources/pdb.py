@@ -86,17 +86,25 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out[k] = text.str[a:b] if k in ("alt_loc", "chain", "icode") else text.str[a:b].str.strip()
                 for k in ("serial", "x", "y", "z"):
                     out[k] = pd.to_numeric(out[k], errors="coerce")
-                out = out[out[["serial", "x", "y", "z"]].notna().all(axis=1)]
-                out["serial"] = out["serial"].astype("int32")
+                out = out[out[["x", "y", "z"]].notna().all(axis=1)]
+                out["serial"] = out["serial"].astype("Int32")
                 yield out.assign(frame=frame, cryst1=cell)[[c.split()[0] for c in SCHEMA.split(", ")]]
                 frame += 1
 
 
+def stamp(path: str) -> str:
+    """A file's size and time, which tell a changed trajectory from the old one."""
+    files, place = fs.FileSystem.from_uri(path)
+    info = files.get_file_info(place)
+    return f"{info.size} {info.mtime_ns}"
+
+
 def read_pdb(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The beads of a trajectory (SCHEMA); path is a URI that every executor can open.
 
     A bare END closes a frame, the last may lack it; MODEL and ENDMDL don't count. Chunks without ATOM or HETATM have
-    no number; a chunk without CRYST1 has the last one seen. Malformed atom lines are left out. A first pass counts frames per range, so that ranges
+    no number; a chunk without CRYST1 has the last one seen. Atom lines without three coordinates are left out; a serial that
+    is no number is null (`numbered` leaves such atoms out, boxes count them). A first pass counts frames per range, so that ranges
     know their first frame's number; only one row per range comes to the driver.
     """
     files, place = fs.FileSystem.from_uri(path)
@@ -113,6 +121,32 @@ def read_pdb(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
     return spark.createDataFrame(rows, _TEXT + ", first long, cell string").repartition(len(rows), "start").mapInPandas(_parse, SCHEMA)
 
 
+def numbered(atoms: DataFrame) -> DataFrame:
+    """The atoms that have a serial."""
+    return atoms.where("serial IS NOT NULL")
+
+
+def atom_columns(line: Column) -> dict[str, Column]:
+    """The fields of an atom line; numbers that can't be read are null."""
+    cell = {k: F.substring(line, a + 1, b - a) for k, (a, b) in FIELDS.items()}
+    kinds = {"serial": "int", "x": "double", "y": "double", "z": "double"}
+    return {k: F.trim(c).try_cast(kinds[k]) if k in kinds else c if k in ("alt_loc", "chain", "icode") else F.trim(c) for k, c in cell.items()}
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """lines (line, and any other columns) of atoms with their fields; other records and atoms without three coordinates are left out."""
+    atoms = lines.where(F.trim(F.substring("line", 1, 6)).isin("ATOM", "HETATM")).withColumns(atom_columns(F.col("line")))
+    return atoms.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").drop("line")
+
+
+def read_frames(spark: SparkSession, folder: str, pattern: str = "*.pdb") -> DataFrame:
+    """The beads of a folder of one-frame files: frame is the first number in a file's name, which a name must have; line_no counts from 0."""
+    whole = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("path"), "value")
+    number = F.regexp_extract("path", r"(\d+)", 1)
+    frame = F.when(number != "", number).otherwise(F.raise_error(F.concat(F.lit("no number in the name "), "path")).cast("string")).cast("long")
+    return parse_lines(whole.select(frame.alias("frame"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")))
+
+
 def cell_lengths(cryst1: Column) -> dict[str, Column]:
     """lx, ly, lz and the angles of a CRYST1 line; nulls where there is none."""
     at = {"lx": (7, 9), "ly": (16, 9), "lz": (25, 9), "alpha": (34, 7), "beta": (41, 7), "gamma": (48, 7)}

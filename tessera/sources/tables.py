@@ -26,7 +26,11 @@ def _area(columns: list[str]) -> Column | None:
 
 def cluster_rows(spark: SparkSession, path: str) -> DataFrame:
     """frame, side and area (null where it can't be read) of a cluster file; rows without a frame are left out, 3.7 counts as frame 3."""
-    rows = read_csv(spark, path, ("frame",))
+    return parse_clusters(read_csv(spark, path, ("frame",)))
+
+
+def parse_clusters(rows: DataFrame) -> DataFrame:
+    """As cluster_rows, of a file's columns as text."""
     area = _area(rows.columns)
     label = F.col("cluster") if "cluster" in rows.columns else F.lit("")
     frame = F.col("frame").try_cast("double")
@@ -44,14 +48,23 @@ def cluster_areas(spark: SparkSession, path: str) -> DataFrame:
 
 def region_areas(spark: SparkSession, path: str, regions: tuple[str, ...] = ("monolayer", "bilayer")) -> DataFrame:
     """region_type and area of a layers file's rows in the given regions."""
-    rows = read_csv(spark, path, ("area_angstrom2", "region_type"))
+    return parse_regions(read_csv(spark, path, ("area_angstrom2", "region_type")), regions)
+
+
+def parse_regions(rows: DataFrame, regions: tuple[str, ...] = ("monolayer", "bilayer")) -> DataFrame:
+    """As region_areas, of a file's columns as text."""
     region = F.lower(F.trim("region_type"))
     return rows.select(region.alias("region_type"), F.col("area_angstrom2").try_cast("double").alias("area")).where(F.col("region_type").isin(*regions) & F.col("area").isNotNull())
 
 
 def curvature_rows(spark: SparkSession, path: str) -> DataFrame:
     """area and h of a curvature file's rows."""
-    return read_csv(spark, path, ("area_angstrom2", "H")).select(F.col("area_angstrom2").try_cast("double").alias("area"), F.col("H").try_cast("double").alias("h")).where("area IS NOT NULL AND h IS NOT NULL")
+    return parse_curvature(read_csv(spark, path, ("area_angstrom2", "H")))
+
+
+def parse_curvature(rows: DataFrame) -> DataFrame:
+    """As curvature_rows, of a file's columns as text."""
+    return rows.select(F.col("area_angstrom2").try_cast("double").alias("area"), F.col("H").try_cast("double").alias("h")).where("area IS NOT NULL AND h IS NOT NULL")
 
 
 def _ordered(clusters: DataFrame, extra: list[Column]) -> DataFrame:
