@@ -270,13 +270,22 @@ def top2_components(spark, t):
     return graph.components(t("facets").where("defect")).where("cluster < 2").select("frame", "side", "component", "size").distinct()
 
 
-@query()
+# an edge is a bridge if its ends lie apart without it
+_BRIDGES = _EDGES + """, pair AS (SELECT DISTINCT frame, side, a, b FROM (SELECT frame, side, min(tri_id) AS a, max(tri_id) AS b FROM ed GROUP BY frame, side, e0, e1 HAVING count(*) = 2)),
+way AS (SELECT a AS p, b AS q FROM pair UNION ALL SELECT b, a FROM pair), detour AS (SELECT a, b, a AS pt FROM pair UNION SELECT d.a, d.b, way.q FROM detour d JOIN way ON way.p = d.pt AND NOT (d.a = way.p AND d.b = way.q) AND NOT (d.b = way.p AND d.a = way.q)),
+bridge AS (SELECT frame, side, a, b FROM pair ANTI JOIN (SELECT a, b FROM detour WHERE pt = b) USING (a, b))"""
+
+
+@query(_BRIDGES + """, held AS (SELECT a, b FROM pair ANTI JOIN bridge USING (a, b)), both_ AS (SELECT a, b FROM held UNION ALL SELECT b, a FROM held),
+reach AS (SELECT tri_id AS n, tri_id AS r FROM tri UNION SELECT both_.b, reach.r FROM reach JOIN both_ ON both_.a = reach.n), comp AS (SELECT n AS tri_id, min(r) AS component FROM reach GROUP BY n),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY frame, side ORDER BY size DESC, component) - 1 AS cluster FROM (SELECT frame, side, component, count(*) AS size FROM comp JOIN tri USING (tri_id) GROUP BY ALL HAVING count(*) >= 2))
+SELECT r.frame, r.side, tri_id, component, size, cluster FROM comp JOIN ranked r USING (component)""", ("facets",))
 def bridge_prune(spark, t):
     """Clusters that are left without bridges."""
     return graph.pruned_components(t("facets").where("defect"))
 
 
-@query()
+@query(_BRIDGES + " SELECT frame, side, a, b FROM bridge", ("facets",))
 def bridge_edges(spark, t):
     """The bridges of the defect graph."""
     return graph.bridge_edges(t("facets").where("defect"))
