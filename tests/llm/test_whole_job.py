@@ -86,3 +86,36 @@ def test_kept_lattices_change_nothing(monkeypatch):
         model = pieces.Sampler(path)
         got = model.encode(texts, pieces.row_seeds(list(range(60))))
         assert all(a.tolist() == b.tolist() for a, b in zip(got, want, strict=True))
+
+
+def test_encoder_gives_the_tokenizers_ids(monkeypatch):
+    """Letters and signs that are encoded by themselves, words that aren't, odd white space, and what is kept from text to text."""
+    from tokenizers import Tokenizer
+
+    from tessera.llm import records
+
+    path = P.path("byte_bpe_50k.json")
+    parts = ["the", "Ünï", "naïve,", "x%%%", "end.\n", "\n\n", "\r\n", "\t", "don't", "it's,", "<|endoftext|>", "foo<|endoftext|>", "日本語", "é", "42a", "ab,cd", "a×b", "...", "“q”", "\x85", "　", "  ", " ", "\n"]
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "\n", " a", "a "] + ["".join(parts[i] + " " * int(rng.integers(0, 2)) for i in rng.integers(0, len(parts), rng.integers(1, 25))) for _ in range(3000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for kept in (records.CACHE_WORDS, 50):
+        monkeypatch.setattr(records, "CACHE_WORDS", kept)
+        encoder = records.Encoder(path)
+        got = [x.tolist() for at in range(0, len(texts), 300) for x in encoder.encode(texts[at : at + 300])]
+        assert got == want
+
+
+def test_lattice_falls_apart_where_it_is_cut():
+    """No piece of the model crosses a cut, and no cut lies inside a character."""
+    model = pieces.Sampler(P.path("piece_bpe_32k.model"))
+    text = "Ünïted state's (x%%%) a,b;c 日本語 é 42a\r\n\tend.  two   three".encode()
+    body = np.frombuffer(b" " + text, np.uint8)
+    cuts = {i + 1 for i, c in enumerate(model.cut[(body[:-1].astype(np.uint16) << 8) | body[1:]]) if c}
+    assert cuts and not any(body[i] & 0xC0 == 0x80 for i in cuts)
+    raw = body.tobytes()
+    whole = {p for i, p in enumerate(model.bytes) if len(p) > 1 and p.strip(b" ")}
+    for start in range(len(raw)):
+        for stop in range(start + 2, min(len(raw), start + 20) + 1):
+            if raw[start:stop] in whole:
+                assert not cuts & set(range(start + 1, stop))
