@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import hostrank, langid, mixing, nearjoin, pieces, quality, records, secretscan, topk, toxicity
+from tessera.llm import hostrank, langid, mixing, nearjoin, pieces, quality, records, repeats, secretscan, topk, toxicity, trie
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_language": langid.op8_language,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_near_join": nearjoin.op10_near_join,
+    "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_repeats": repeats.op12_repeats,
 }
 
 SQL = {
@@ -22,4 +24,6 @@ SQL = {
     "op3_url_filter": hostrank.OP3_SQL,
     "op4_exact_topk": topk.OP4_SQL,
     "op10_near_join": nearjoin.OP10_SQL,
+    "op11_prefix_trie": trie.OP11_SQL,
+    "op12_repeats": repeats.OP12_SQL,
 }
