@@ -49,6 +49,12 @@ class SpanHashes:
             raw = (self._total[ends] - self._total[starts]) * self._inverse[starts]
             return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def sliding(self, width: int) -> np.ndarray:
+        """The hashes of all spans of width bytes."""
+        with np.errstate(over="ignore"):
+            raw = (self._total[width:] - self._total[: len(self._total) - width]) * self._inverse[: len(self._total) - width]
+            return mix(raw + np.uint64(width * 0xD6E8FEB86659FD93 % (1 << 64)))
+
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """SpanHashes for one use."""

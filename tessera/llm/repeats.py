@@ -2,10 +2,10 @@
 
 A window is LEAST bytes of one text. Equal windows have equal anchors (the smallest hash of their KMER-byte parts), so
 consecutive windows of one anchor travel as a piece; anchors that a single document holds can't matter and go first. Equal
-pieces become one, held by their oldest document. What is left is dealt to buckets by anchor; a bucket's pieces become a
-run-length index (runindex), and each piece streams its matching statistics against it: a window that matches LEAST bytes whose
-oldest holder is older than the piece's is marked. All later holders of a piece have every window of it in an older
-document. An anchor of very many unlike pieces (the rims of a passage that is everywhere) would make a bucket without
+pieces become one, held by their oldest document; a piece that is its anchor's only one has no older window anywhere. All
+others are dealt to buckets by anchor; a bucket's pieces become a run-length index (runindex), and each piece streams its
+matching statistics against it: a window that matches LEAST bytes whose oldest holder is older than the piece's is marked.
+All later holders of a piece have every window of it in an older document. An anchor of very many unlike pieces (the rims of a passage that is everywhere) would make a bucket without
 bound; windows of those are dealt one by one instead, by their own hash.
 """
 
@@ -26,9 +26,9 @@ from tessera.llm.runindex import RunIndex
 #: Bytes of a window, of the parts whose smallest hash is its anchor, and most windows of a piece (their marks are bits of a long).
 LEAST, KMER, MOST_WINDOWS = 50, 20, 31
 #: Bytes of a bucket and of the buckets of a task, on the average.
-BUCKET_BYTES, TASK_BYTES = 1 << 20, 16 << 20
-#: Unlike pieces of an anchor from which on its windows are dealt one by one.
-CROWD = 2000
+BUCKET_BYTES, TASK_BYTES = 1 << 19, 8 << 20
+#: Most unlike pieces of an anchor that go to one bucket; the windows of larger groups are dealt one by one.
+CROWD = 64
 #: Texts are hashed together up to so many bytes.
 HASH_BYTES = 1 << 21
 #: Texts in a worker at once.
@@ -47,8 +47,8 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of each piece: which text, where it starts in it, how many windows it has, its anchor and its own hash."""
+def pieces_of(texts: list[bytes], whole: bool = True) -> tuple[np.ndarray, ...]:
+    """Of each piece: which text, where it starts in it, how many windows it has, its anchor and, if whole, its own hash."""
     size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     first = np.concatenate([[0], np.cumsum(size)])
     buf = np.frombuffer(b"".join(texts), np.uint8)
@@ -56,8 +56,7 @@ def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if len(buf) < LEAST:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     hashes = SpanHashes(buf)
-    at = np.arange(len(buf) - KMER + 1)
-    low = window_minima(hashes(at, at + KMER), LEAST - KMER + 1)
+    low = window_minima(hashes.sliding(KMER), LEAST - KMER + 1)
     of = np.repeat(np.arange(len(texts)), size)[: len(low)]
     real = np.arange(len(low)) + LEAST <= first[1:][of]
     new = np.ones(len(low), bool)
@@ -68,7 +67,7 @@ def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero((within % MOST_WINDOWS == 0) & real)
     count = np.add.reduceat(real.astype(np.int64), np.flatnonzero(within % MOST_WINDOWS == 0))
     count = count[count > 0]
-    return of[head], head - first[of[head]], count, low[head], hashes(head, head + count + LEAST - 1)
+    return of[head], head - first[of[head]], count, low[head], hashes(head, head + count + LEAST - 1) if whole else low[:0]
 
 
 PIECE = "doc long, th long, anchor long, piece long, start int, n int"
@@ -88,6 +87,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each text, which may come more than once."""
+    for batch in batches:
+        doc, text = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).cast(pa.binary())
+        size = np.array(pa.compute.binary_length(text).to_numpy(zero_copy_only=False), np.int64)
+        for a, b in _ranges(np.cumsum(size) // HASH_BYTES):
+            of, _, _, anchor, _ = pieces_of(text.slice(a, b - a).to_pylist(), False)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a:b][of]), pa.array(signed(anchor))], names=["doc", "anchor"])
+    give_back()
+
+
 def _ranges(group: np.ndarray) -> list[tuple[int, int]]:
     cuts = np.flatnonzero(np.diff(group)) + 1
     return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True)) if len(group) else []
@@ -190,20 +200,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     # texts that share an id are told apart by a hash
     again = not rows.where("doc IS NOT NULL").groupBy("doc").count().where("count > 1").isEmpty()
     rows = rows.select("doc", (F.xxhash64("text") if again else F.lit(0).cast("long")).alias("th"), "text")
-    found = materialize(rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LEAST)).mapInArrow(_cut, PIECE), "pieces")
-    # written first, so that the join is dealt by itself and an anchor of very many pieces can be split
-    held = materialize(found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor"), "anchors")
-    shared = materialize(found.join(held, "anchor", "left_semi"), "shared")
-    discard(found, held)
+    long = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LEAST))
+    # written first, so that the joins are dealt by themselves and an anchor or a piece that is everywhere can be split;
+    # cutting the texts a second time costs less than keeping all pieces
+    held = materialize(long.mapInArrow(_anchors, "doc long, anchor long").groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor"), "anchors")
+    shared = materialize(long.mapInArrow(_cut, PIECE).join(held.hint("shuffle_hash"), "anchor", "left_semi"), "shared")
+    discard(held)
     unlike = materialize(shared.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "th", "start")).alias("at"), F.min("n").alias("n")).select("anchor", "piece", "at.doc", "at.th", "at.start", "n"), "unlike")
+    counts = materialize(unlike.groupBy("anchor").agg(F.count("*").alias("count"), F.sum(F.col("n") + LEAST).alias("size")).where("count > 1"), "counts")
 
-    asked = unlike.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "piece", "start", "n")).alias("asked"))
+    asked = unlike.join(counts, "anchor", "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "piece", "start", "n")).alias("asked"))
     holders = rows.join(asked, ["doc", "th"])
     if again:
         holders = holders.dropDuplicates(["doc", "th"])
     cut = materialize(holders.select("doc", "text", "asked").mapInArrow(_bytes_of, "doc long, anchor long, piece long, bytes binary"), "cut")
-    crowd = materialize(unlike.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor"), "crowd")
-    size = unlike.agg(F.sum(F.col("n") + LEAST).alias("n")).first().n or 0
+    crowd = materialize(counts.where(F.col("count") > CROWD).select("anchor"), "crowd")
+    size = counts.where(F.col("count") <= CROWD).agg(F.sum("size").alias("n")).first().n or 0
     dealt = cut.join(crowd, "anchor", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(-(-size // BUCKET_BYTES) or 1)))
     judged = dealt.repartition(-(-size // TASK_BYTES) or 1, "bucket").groupBy("bucket").applyInPandas(_judge, "anchor long, piece long, marks long")
     judged = materialize(judged, "judged")
@@ -214,9 +226,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         hit = alone.join(oldest, ["w1", "w2"]).where("oldest < doc").groupBy("anchor", "piece").agg(F.expr("bit_or(shiftleft(1L, k))").alias("marks"))
         judged = judged.unionByName(hit)
     ruled = materialize(unlike.join(judged, ["anchor", "piece"], "left").select("anchor", "piece", F.col("doc").alias("holder"), F.coalesce("marks", F.lit(0).cast("long")).alias("marks")), "ruled")
-    discard(cut, crowd)
+    discard(cut, crowd, counts)
     marks = F.when(F.col("doc") > F.col("holder"), F.expr("shiftleft(1L, n) - 1L")).otherwise(F.col("marks"))
-    marked = shared.join(ruled, ["anchor", "piece"]).select("doc", "th", "start", marks.alias("marks")).where("marks <> 0")
+    marked = shared.join(ruled.hint("shuffle_hash"), ["anchor", "piece"]).select("doc", "th", "start", marks.alias("marks")).where("marks <> 0")
     marked = materialize(marked, "marked").groupBy("doc", "th").agg(F.collect_list(F.struct("start", "marks")).alias("marked"))
     discard(shared, unlike, ruled)
     small_batches(spark, TEXT_ROWS)

@@ -25,49 +25,65 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of keys (equal ones by place) and each key's rank among the distinct ones, from 1."""
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]]) if len(key) else np.zeros(0, bool)
+    """An order of keys and each key's rank among the distinct ones, from 1."""
+    order = np.argsort(key)
+    sorted_ = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
     rank = np.empty(len(key), np.int64)
     rank[order] = np.cumsum(new)
     return order, rank
 
 
 def suffix_order(symbols: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows' places in the text, by doubling within texts, and at each place a number that is equal where the next `least` symbols are."""
-    n = len(symbols)
+    """The rows' places in the text, by doubling within texts, and which rows begin with other `least` symbols than the row before.
+
+    A suffix that has ended is told apart by its text's place, so no two rows stay equal.
+    """
+    n, m = len(symbols), len(starts) - 1
     size = np.diff(starts)
-    left = np.repeat(starts[1:], size) - np.arange(n)  # symbols up to the end mark, itself included
+    text = np.repeat(np.arange(m), size)
+    left = starts[1:][text] - np.arange(n)  # symbols up to the end mark, itself included
 
     def then(x: np.ndarray, h: int) -> np.ndarray:
-        out = np.zeros(n, np.int64)
+        out = text.copy()
         if h < n:
-            out[: n - h] = np.where(left[: n - h] > h, x[h:], 0)
+            out[: n - h] = np.where(left[: n - h] > h, x[h:], text[: n - h])
         return out
 
     key = np.zeros(n, np.uint64)
+    wide = symbols.astype(np.uint64)
     for k in range(PACK):
-        key = key * np.uint64(257) + then(symbols.astype(np.int64), k).astype(np.uint64)
+        key *= np.uint64(257)
+        key[: max(n - k, 0)] += np.where(left[: max(n - k, 0)] > k, wide[k:], np.uint64(0))
     order, rank = _dense(key)
     seen, first = PACK, None
     longest = int(size.max(initial=0))
-    while seen < max(longest, least):
+    told = rank * (m + 1) + np.where(left <= PACK, text, m)  # as rank, but ended suffixes apart
+    while True:
+        wide = int(told.max(initial=0)) + m + 1
         if first is None and 2 * seen >= least:
-            first = _dense(rank * (n + 1) + then(rank, least - seen))[1]
-        order, rank = _dense(rank * (n + 1) + then(rank, seen))
+            first = rank, then(told, least - seen)
+        order, rank = _dense(rank * wide + then(told, seen))
+        told = rank
         seen *= 2
-    return order, rank if first is None else first
+        if seen >= longest and first is not None:
+            break
+    new = np.ones(n, bool)
+    a, b = (x[order] for x in first)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, new
 
 
 class RunIndex:
-    """The index of texts, each with an owner (an integer); least is PACK or more."""
+    """The index of texts, each with an owner (an integer); least is above PACK."""
 
     def __init__(self, texts: list[bytes], owners: np.ndarray, least: int):
-        if least < PACK:
-            raise ValueError(f"least must be {PACK} or more")
+        if least <= PACK:
+            raise ValueError(f"least must be above {PACK}")
         self.least = least
         self.symbols, self.starts = joined(texts)
-        order, same = suffix_order(self.symbols, self.starts, least)
+        order, other = suffix_order(self.symbols, self.starts, least)
         n = self.n = len(order)
         size = np.diff(self.starts)
         text = np.repeat(np.arange(len(texts)), size)
@@ -83,8 +99,8 @@ class RunIndex:
         self.first, self.last = order[head], order[np.append(head[1:], n) - 1] if n else order
         # runs of each symbol, in order, for the jumps
         self._by, self._bounds = by, np.searchsorted(self.of[by], np.arange(258))
-        new = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]])) if n else head
-        self.group, self.oldest = new, np.minimum.reduceat(owners[text[order]], new) if n else owners[:0]
+        self.group = np.flatnonzero(other)
+        self.oldest = np.minimum.reduceat(owners[text[order]], self.group) if n else owners[:0]
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Equal symbols from text places a and b on, before an end mark, up to most."""
