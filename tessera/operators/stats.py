@@ -8,26 +8,42 @@ from pyspark.sql import functions as F
 from tessera.functions.beads import finite_positive
 
 
+#: Bins of a group from which on a histogram raises rather than make rows without end of one stray value.
+MOST_BINS = 1_000_000
+
+
+def size_counts(rows: DataFrame, value: str = "area", width: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., k, edge, n, top and total: how many finite positive values of each group fall between two half-steps of width, how many of them on
+    the lower one, their greatest and their sum. Counts of parts of a table, put together, are counts of the table."""
+    w, v = F.lit(float(width)), F.col(value).cast("double")
+    place = F.floor(v / w - 0.5).cast("long")
+    counts = rows.where(finite_positive(v)).select(*[F.col(c) for c in by], v.alias("v"), place.alias("k"))
+    return counts.groupBy(*by, "k", (F.col("v") == (F.col("k") + 0.5) * w).alias("edge")).agg(F.count("*").alias("n"), F.max("v").alias("top"), F.sum("v").alias("total"))
+
+
 def histogram(rows: DataFrame, value: str = "area", width: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
     """by..., bin (from 0), mid, n and p over the finite positive values of each group.
 
     Edges are (i + 0.5) * width for i = 0 .. floor(max / width), half-open but for the last; values outside count
-    nowhere. A group whose greatest value is below width has one bin from 0 to max + width. Empty bins have n = 0.
-    The values are counted in one pass, pre-aggregated per bin; the groups' maxima come from those counts.
+    nowhere. A group whose greatest value is below width has one bin from 0 to max + width. Empty bins have n = 0; a
+    group of over MOST_BINS bins raises. The values are counted in one pass, pre-aggregated per bin; the groups' maxima
+    come from those counts.
     """
-    w, v = F.lit(float(width)), F.col(value).cast("double")
-    place = F.floor(v / w - 0.5).cast("long")
-    keys = [F.col(c) for c in by]
-    counts = rows.where(finite_positive(v)).select(*keys, v.alias("v"), place.alias("k"))
-    counts = counts.groupBy(*by, "k", (F.col("v") == (F.col("k") + 0.5) * w).alias("edge")).agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    return bins(size_counts(rows, value, width, by), width, by)
+
+
+def bins(counts: DataFrame, width: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """As histogram, of size_counts, which may come in parts."""
+    w = F.lit(float(width))
     whole = Window.partitionBy(*by)
     nb = F.floor(F.max("top").over(whole) / w).cast("long")
+    nb = F.when(nb <= MOST_BINS, nb).otherwise(F.raise_error(F.concat(F.lit("too many bins for a greatest value of "), F.max("top").over(whole).cast("string"))).cast("long"))
     counts = counts.withColumn("nb", nb).withColumn("vmax", F.max("top").over(whole))
     last = (F.col("k") == F.col("nb")) & F.col("edge")
     inside = (F.col("nb") == 0) | (F.col("k") >= 0) & ((F.col("k") < F.col("nb")) | last)
     binned = counts.groupBy(*by, F.when(F.col("nb") == 0, F.lit(0)).otherwise(F.least("k", F.col("nb") - 1)).cast("long").alias("bin"), "nb", "vmax").agg(F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("n"))
-    bins = binned.select(*by, "nb", "vmax").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("nb") - 1, F.lit(0)))))
-    full = bins.join(binned.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("bin").alias("_bin"), "n"), [F.col("bin") == F.col("_bin"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]], "left")
+    every = binned.select(*by, "nb", "vmax").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("nb") - 1, F.lit(0)))))
+    full = every.join(binned.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("bin").alias("_bin"), "n"), [F.col("bin") == F.col("_bin"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]], "left")
     n = F.coalesce("n", F.lit(0)).cast("long")
     mid = F.when(F.col("nb") == 0, (F.col("vmax") + w) / 2).otherwise((F.col("bin") + 1) * w)
     return full.select(*by, "bin", mid.alias("mid"), n.alias("n")).withColumn("p", F.try_divide(F.col("n"), F.sum("n").over(whole)))
