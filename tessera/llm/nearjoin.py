@@ -44,6 +44,8 @@ CUT_ROWS = 256
 LEAF, FAN = 16, 8
 #: Pairs whose whole sets are in a Python worker at once.
 SET_ROWS = 50
+#: From here on are the ids of classes whose smallest document stands for another class too.
+OWN_IDS = 1 << 62
 #: Bits of the filter that tells which documents' sets are needed.
 FILTER_BITS = 20
 
@@ -78,9 +80,8 @@ def prefix_size(n: int) -> int:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    """How many of a set fall to each group; a set too large for 16 bits gets the greatest bound everywhere."""
-    counts = np.bincount((s >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS)
-    return (np.full(GROUPS, 65535) if counts.max(initial=0) > 65535 else counts).astype("<u2")
+    """How many of a set fall to each group."""
+    return np.bincount((s >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS).astype("<i4")
 
 
 def fine_vector(s: np.ndarray) -> bytes:
@@ -111,7 +112,7 @@ def _digest(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.nd
             p = prefix_size(len(s))
             first = s[np.argpartition(order, p - 1)[:p]] if p and p < len(s) else s[:p]
             with np.errstate(over="ignore"):
-                h1 = int(signed(np.array([mix(s).sum(dtype=np.uint64)]))[0])
+                h1 = _first_hash(s)
                 h2 = int(signed(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(0x2545F4914F6CDD1D)))]))[0]) if len(s) else 0
             rows.append((k, len(s), h1, h2, signed(first), count_vector(s).tobytes(), fine_vector(s)))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -201,7 +202,7 @@ def tree_join(x: RTree, y: RTree) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(-1, GROUPS).astype(np.int32)
+    return np.frombuffer(b"".join(column), "<i4").reshape(-1, GROUPS)
 
 
 def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
@@ -224,7 +225,13 @@ def _bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in frames:
         need = _needed(x["na"].to_numpy(), x["nb"].to_numpy())
         ok = np.fromiter((fine_bound(f, g) for f, g in zip(x["fa"], x["fb"], strict=True)), np.int64, len(x)) >= need
-        yield x.loc[ok, ["a", "b"]]
+        yield x.loc[ok, ["a", "b", "da", "ha", "db", "hb"]]
+
+
+def _first_hash(s: np.ndarray) -> int:
+    """A hash of a whole set."""
+    with np.errstate(over="ignore"):
+        return int(signed(np.array([mix(s).sum(dtype=np.uint64)]))[0])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -234,7 +241,7 @@ def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.Re
         wanted = np.flatnonzero(bits[place >> 3] >> (place & 7) & 1)
         if len(wanted):
             sets = shingle_sets(batch.column(1).take(pa.array(wanted)).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys[wanted]), pa.array([signed(s).tobytes() for s in sets], pa.binary())], names=["doc", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[wanted]), pa.array([_first_hash(s) for s in sets], pa.int64()), pa.array([signed(s).tobytes() for s in sets], pa.binary())], names=["doc", "h1", "set"])
     give_back()
 
 
@@ -273,13 +280,23 @@ def near_components(docs: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, rows.count()))  # at most MOST_FREQUENT
     digests = materialize(rows.mapInArrow(lambda b: _digest(b, *frequent.value), "doc_id long, n long, h1 long, h2 long, prefix array<long>, counts binary, fine binary"), "digests")
 
-    # classes of equal sets, known by their smallest document
+    # classes of equal sets, known by their smallest document; where that stands for more than one set, all but one get ids of their own
     real = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    key = ["n", "h1", "h2"]
     # written first, so that the join below is dealt by itself and a class of very many copies can be split
-    classes = materialize(digests.where(real).groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc")), "classes")
-    members = materialize(digests.where(real).select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("doc_id", "doc", "n"), "members")
-    leaders = members.where("doc_id = doc").select("doc", "n").distinct()
-    points = materialize(digests.where(real).join(leaders, (F.col("doc_id") == F.col("doc")) & (digests["n"] == leaders["n"]), "left_semi").select(F.col("doc_id").alias("doc"), "n", "prefix", "counts", "fine").dropDuplicates(["doc", "n"]), "points")
+    classes = materialize(digests.where(real).groupBy(*key).agg(F.min("doc_id").alias("lead")), "classes")
+    if not classes.groupBy("lead").count().where("count > 1").isEmpty():
+        first = classes.groupBy("lead").agg(F.min(F.struct(*key)).alias("first"))
+        own = F.when(F.struct(*key) == F.col("first"), F.col("lead")).otherwise(F.lit(OWN_IDS) + F.monotonically_increasing_id())
+        classes = materialize(classes.join(first, "lead").select(*key, "lead", own.alias("doc")), "classes")
+    else:
+        classes = classes.withColumn("doc", F.col("lead"))
+    members = materialize(digests.where(real).select("doc_id", *key).join(classes, key).select("doc_id", "doc", "n"), "members")
+    # rows that share an id tie their classes
+    many = members.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("doc_id", "a")
+    ties = materialize(members.join(many, "doc_id").where("doc <> a").select("a", F.col("doc").alias("b")).distinct(), "ties")
+    points = digests.where(real).withColumnRenamed("doc_id", "lead").join(classes, ["lead", *key]).select("doc", "lead", "h1", "n", "prefix", "counts", "fine")
+    points = materialize(points.dropDuplicates(["doc"]), "points")
 
     heads = materialize(digests.select("doc_id", "n"), "heads")
     discard(digests, classes)
@@ -297,17 +314,17 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs that link."""
-        side = lambda x: points.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
-        bounded = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_bounded, "a long, b long"), "pairs")
-        held = bounded.select(F.explode(F.array("a", "b")).alias("doc")).mapInPandas(_places, "place long").distinct().toPandas()["place"].to_numpy(np.int64)  # at most 2 ** FILTER_BITS
+        side = lambda x: points.select(F.col("doc").alias(x), F.col("lead").alias(f"d{x}"), F.col("h1").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+        bounded = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_bounded, "a long, b long, da long, ha long, db long, hb long"), "pairs")
+        held = bounded.select(F.explode(F.array("da", "db")).alias("doc")).mapInPandas(_places, "place long").distinct().toPandas()["place"].to_numpy(np.int64)  # at most 2 ** FILTER_BITS
         bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
         np.bitwise_or.at(bits, held >> 3, (1 << (held & 7)).astype(np.uint8))
         sent = spark.sparkContext.broadcast(bits)
         # the filter lets a few others through; the joins by document leave them out
-        sets = materialize(rows.where("doc_id IS NOT NULL").mapInArrow(lambda b: _sets(b, sent.value), "doc long, set binary"), "sets")
-        whole = lambda x: sets.select(F.col("doc").alias(x), F.col("set").alias(f"s{x}"))
+        sets = materialize(rows.where("doc_id IS NOT NULL").mapInArrow(lambda b: _sets(b, sent.value), "doc long, h1 long, set binary"), "sets")
+        whole = lambda x: sets.select(F.col("doc").alias(f"d{x}"), F.col("h1").alias(f"h{x}"), F.col("set").alias(f"s{x}"))
         small_batches(spark, SET_ROWS)
-        links = materialize(bounded.join(whole("b"), "b").join(whole("a"), "a").mapInPandas(_verified, "a long, b long").distinct(), "links")
+        links = materialize(bounded.join(whole("b"), ["db", "hb"]).join(whole("a"), ["da", "ha"]).mapInPandas(_verified, "a long, b long").distinct(), "links")
         small_batches(spark, 1000)
         discard(bounded, sets)
         return links
@@ -318,11 +335,11 @@ def near_components(docs: DataFrame) -> DataFrame:
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     links = verify(tried(blocks, pivots.where("r = 1")))
-    found = materialize(components(links), "components")
+    found = materialize(components(links.unionByName(ties)), "components")
     more = materialize(apart(tried(blocks.where("size > 2"), pivots.where("r > 1")), found), "more")
     if not more.isEmpty():
         links = links.unionByName(verify(more))
-        found = materialize(components(links), "components")
+        found = materialize(components(links.unionByName(ties)), "components")
     # what is left of blocks in which the pivots didn't meet all
     large = blocks.where(F.col("size") > PIVOTS + 1).join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     split = large.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("shingle")
@@ -335,7 +352,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     rest = materialize(rest, "rest")
     discard(blocks, pivots, more)
     if not rest.isEmpty():
-        found = materialize(components(links.unionByName(verify(rest))), "components")
+        found = materialize(components(links.unionByName(ties).unionByName(verify(rest))), "components")
     linked = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc_id", F.coalesce("component", "doc").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component"))
     discard(points, rest)
     return heads.join(linked, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
