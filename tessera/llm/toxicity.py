@@ -20,7 +20,7 @@ THRESHOLD = 0.7
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list:
-    """(text, toxic) of at most SAMPLE_DOCS labelled documents of each label, in the order of their hashes, until they have SAMPLE_WORDS words.
+    """(text, toxic, known) of at most SAMPLE_DOCS labelled documents of each label, in the order of their hashes, until they have SAMPLE_WORDS words; known is how many documents have the label in all.
 
     Labels of other rows than docs' are never looked at, not even counted. Null texts teach nothing; a document with
     unlike labels counts as toxic, equal rows count once.
@@ -40,7 +40,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list:
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = materialize(sized.withColumns({"r": F.row_number().over(order), "before": before}).where((F.col("r") <= SAMPLE_DOCS) & (F.col("before") < SAMPLE_WORDS)).select("doc_id", "h", F.col("r"), "toxic"), "sample")
     texts = docs.where(F.col("text").isNotNull()).withColumn("h", F.when(F.col("doc_id").isNotNull(), F.xxhash64("text"))).join(F.broadcast(taken), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
-    return texts.orderBy("toxic", "r").select("text", "toxic").collect()
+    known = F.when(F.col("toxic") == 1, n.get(1, 0)).otherwise(n.get(0, 0)).cast("long").alias("known")
+    return texts.orderBy("toxic", "r").select("text", "toxic", known).collect()
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
@@ -65,5 +66,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     test = held_out(3, 1)
     rows = training_rows(docs.where(~test & F.col("doc_id").isNotNull()), table(spark, sf_dir, "labels"))
-    model = train([r.text for r in rows], np.array([r.toxic for r in rows], np.int64), MODEL_WORDS)
+    model = train([r.text for r in rows], np.array([r.toxic for r in rows], np.int64), MODEL_WORDS, known_labels={r.toxic: r.known for r in rows})
     return score(docs.withColumn("held_out", test), model)
