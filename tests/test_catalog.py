@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera.plans import catalog, files  # noqa: F401
+from tessera.plans import catalog, files, surfaces  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))

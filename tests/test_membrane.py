@@ -1,3 +1,6 @@
+from dataclasses import replace
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -56,3 +59,17 @@ def test_statistics(run, spark, tmp_path):
     assert tables.cluster_areas(spark, path).count() == back.count()
     with pytest.raises(ValueError):
         tables.region_areas(spark, path)
+
+
+def test_level_sets_in_the_run(run, spark, tmp_path):
+    (tmp_path / "ff").mkdir()
+    (tmp_path / "ff" / "ff.itp").write_text((Path(run.settings.custom_ff.removeprefix("file://")) / "ff.itp").read_text())
+    folded = Analysis(spark, replace(run.settings, custom_ff=f"file://{tmp_path}/ff"), f"file://{tmp_path}/out", run._atoms, grid=5, reach=12.0)
+    m = folded.table("mesh").toPandas()
+    assert set(zip(m.frame, m.side)) == {(f, s) for f in range(2) for s in ("upper", "lower")}
+    up = m[m.side == "upper"]
+    assert (up.nz > 0.9).all() and (m[m.side == "lower"].nz < -0.9).all() and abs(up.az.mean() - 20) < 1
+    assert abs(m.groupby(["frame", "side"]).area.mean() / 3 - 1).max() < 0.2
+    facts = folded.table("facts").toPandas()
+    assert set(facts[facts.side == "upper"].frame) == {0, 1}
+    assert abs(folded.table("vertex_h").toPandas().h).median() < 0.05
