@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, fields
 
-#: Other names of settings.
+# The names of settings (here and in Settings), other names of some, and words for on and off.
 ALIASES = {
     "workers": "cpu_workers", "triangle_area": "triangle_size", "clusters_per_frame": "cluster_count",
 }

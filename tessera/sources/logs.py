@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The columns of the files and the line between sections.
+# The columns of the files, the line between sections, captions and the forms of lines.
 BOX_COLUMNS = ("frame", "X(AA)", "Y(AA)", "Z(AA)")
 ATOM_COLUMNS = ("resname", "atom_name", "atom_type", "vdw_radius", "flag")
 SEPARATOR = "-" * 60
+TIMES = "Pipeline step timings"
+TIME_LINE = "{:<5}{:<24}{:>12}{:>12}"
 MODES = ("degenerate_triangle", "head_above_override", "below_min_total_coverage", "classified")
 
 
@@ -99,16 +101,14 @@ def coverage_lines(classes: DataFrame) -> DataFrame:
 
 def sections(texts: list[str | None]) -> str:
     """A report's sections with a line of dashes between them; blank ones are left out."""
-    return f"\n{SEPARATOR}\n".join(t.strip("\n") for t in texts if t and t.strip()) + "\n"
+    kept = [trimmed for t in texts if (trimmed := (t or "").strip("\n")).strip()]
+    return f"\n{SEPARATOR}\n".join(kept) + "\n"
 
 
 def timings(took: dict[int, float], names: dict[int, str]) -> str:
-    """A table of seconds and minutes of each step, and of all."""
-    def row(step: object, name: str, seconds: float) -> str:
-        return f"{step:<5}{name:<24}" + "".join(f"{x:12.3f}" for x in (seconds, seconds / 60))
-
-    spent = {k: took.get(k, 0.0) for k in sorted(names)}
-    head = "step".ljust(5) + "name".ljust(24) + "seconds".rjust(12) + "minutes".rjust(12)
+    """A table of seconds and minutes of each step, and of all; every line, the head too, has the same form."""
+    steps = [(k, names[k], took.get(k, 0.0)) for k in sorted(names)]
+    steps.append(("total", "", sum(s for *_, s in steps)))
+    head, *body = [TIME_LINE.format(*c) for c in [("step", "name", "seconds", "minutes"), *((k, n, f"{s:.3f}", f"{s / 60:.3f}") for k, n, s in steps)]]
     bar = "=" * 30
-    body = [row(k, names[k], s) for k, s in spent.items()]
-    return "\n".join([bar, "Pipeline step timings", bar, head, *body, "-" * len(head), row("total", "", sum(spent.values())), ""])
+    return "\n".join((bar, TIMES, bar, head, *body[:-1], "-" * len(head), body[-1])) + "\n"
