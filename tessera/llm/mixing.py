@@ -98,18 +98,26 @@ def _reversed_bits(x: Column, bits: int) -> Column:
 def schedule(targets: DataFrame) -> DataFrame:
     """The mix's slots: slot (their order), k, rank (of the slot within its source), turn (how often its source was gone through before), block and words it takes.
 
-    Slot t stands for van der Corput's point t. Points are mapped through the sources' cumulative numbers of slots;
-    a source gets as many as it has slots, spread evenly over the whole schedule.
+    Slot t stands for van der Corput's point t, which falls into the range of one source: ranges follow one another, as wide
+    as the slots that a source needs and `bits` more. The mix is the sequence's first N points, N the width of
+    all ranges, cut at each source's target; a source gets what its points among them give. Such a beginning falls apart into
+    runs of evenly spread points, one for each bit of N at most, each short of a range's share by less than one;
+    so every source has the slots it needs, spread over the whole schedule. A less even sequence leaves sources short.
     """
     spark = targets.sparkSession
-    upto = F.sum("slots").over(Window.orderBy("k"))
-    ranges = targets.where("slots > 0").withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("slots"))
-    total = ranges.agg(F.coalesce(F.max("hi"), F.lit(0)).alias("n")).first().n
-    bits = max(_BITS, (total - 1).bit_length() if total else 0)
+    known = targets.where("slots > 0").agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n"), F.count("*").alias("sources")).first()
+    bits = _BITS
+    while known.n + known.sources * bits > 1 << bits:
+        bits += 1
+    n = known.n + known.sources * bits
+    upto = F.sum(F.col("slots") + bits).over(Window.orderBy("k"))
+    edge = lambda x: F.expr(f"(cast({x} AS decimal(19, 0)) * cast({1 << bits} AS decimal(19, 0)) + {max(n, 1) - 1}) div {max(n, 1)}")
+    ranges = targets.where("slots > 0").withColumn("end", upto).withColumn("start", F.col("end") - F.col("slots") - bits)
+    ranges = ranges.withColumn("lo", edge("start")).withColumn("hi", edge("end"))
     near = ranges.select("k", "lo", "hi", "blocks", "slots", "rest", "source_size", F.explode(F.sequence(F.shiftright("lo", 12), F.shiftright(F.col("hi") - 1, 12))).alias("chunk"))
-    points = spark.range(total).withColumn("chunk", F.shiftright("id", 12))
-    placed = points.join(near, "chunk").where("id >= lo AND id < hi").select("k", "blocks", "slots", "rest", "source_size", _reversed_bits(F.col("id"), bits).alias("slot"), F.lit(1).cast("long").alias("one"))
-    ranked = running_totals(placed, "k", F.col("slot"), bits, "one", [], "rank", total)
+    points = spark.range(n).select(F.col("id").alias("slot"), _reversed_bits(F.col("id"), bits).alias("point")).withColumn("chunk", F.shiftright("point", 12))
+    placed = points.join(near, "chunk").where("point >= lo AND point < hi").select("k", "blocks", "slots", "rest", "source_size", "slot", F.lit(1).cast("long").alias("one"))
+    ranked = running_totals(placed, "k", F.col("slot"), bits, "one", [], "rank", n).where("rank < slots")
     block = F.col("rank") % F.col("blocks")
     whole = F.least(F.lit(BLOCK), F.col("source_size") - F.col("block") * BLOCK)
     last = (F.col("rank") == F.col("slots") - 1) & (F.col("rest") > 0)

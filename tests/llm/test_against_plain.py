@@ -4,6 +4,7 @@ import collections
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -59,13 +60,19 @@ def test_propagation(spark):
 
 def plain_mix(sized, hashes, targets, reverse):
     """taken and first slot of each row by walking the schedule."""
-    total = sum(t["slots"] for t in targets.values())
-    bits = max(6, (total - 1).bit_length())
-    at, slots = 0, []
-    for k in sorted(targets):
-        own = sorted(int(f"{i:0{bits}b}"[::-1], 2) if reverse else i for i in range(at, at + targets[k]["slots"]))
-        slots += [(slot, k, r) for r, slot in enumerate(own)]
-        at += targets[k]["slots"]
+    needed = {k: targets[k]["slots"] for k in sorted(targets) if targets[k]["slots"]}
+    bits = next(b for b in range(6, 64) if sum(needed.values()) + len(needed) * b <= 1 << b)
+    n = sum(needed.values()) + len(needed) * bits
+    slots, ranks = [], collections.Counter()
+    for slot in range(n):
+        place = Fraction(int(f"{slot:0{bits}b}"[::-1], 2) if reverse else slot, 1 << bits) * n
+        for k, want in needed.items():
+            if place < want + bits:
+                break
+            place -= want + bits
+        if ranks[k] < want:
+            slots.append((slot, k, ranks[k]))
+        ranks[k] += 1
     taken, first = collections.Counter(), {}
     laid = {k: [] for k in targets}
     for uid, doc_id, k, size in sorted(sized, key=lambda x: (hashes[x[0]], x[1], x[3], x[0])):
@@ -95,7 +102,19 @@ def test_mix_row_by_row(spark, monkeypatch):
         taken, first = plain_mix(sized, hashes, targets, reverse)
         assert got == {u: (taken[u], first.get(u)) for u, *_ in sized}
         seen.append(got)
-    assert seen[0] != seen[1]  # the sequence of points decides
+    assert any(seen[0][u][0] != seen[1][u][0] for u in seen[0])  # the sequence of points decides what is taken
+    got = collections.Counter()
+    for u, _, k, _ in sized:
+        got[k] += seen[0][u][0]
+    assert got == {k: t["quota"] for k, t in targets.items()}  # an even one meets the targets
+
+
+def test_even_points_meet_all_targets(spark):
+    """Many sources of few and of many slots: each has exactly the slots it needs."""
+    rows = [(f"={i}", 10 * s, s, s, 0) for i, s in enumerate([1, 1, 2, 3, 1000, 1, 7, 250, 1, 31, 2, 1, 64, 5000, 3] * 3)]
+    targets = spark.createDataFrame(rows, "k string, source_size long, slots long, blocks long, rest long")
+    got = {r.k: (r.n, r.top) for r in mixing.schedule(targets).groupBy("k").agg(F.count("*").alias("n"), F.max("rank").alias("top")).collect()}
+    assert got == {k: (s, s - 1) for k, _, s, _, _ in rows}
 
 
 def test_mixed_files_are_in_the_schedules_order(spark):
