@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import wrap
 from tessera.operators.graph import KEYS
 from tessera.operators.spatial import nearest_within
+from tessera.sources.folders import written
 
 
 def cluster_facts(members: DataFrame, triangles: DataFrame) -> DataFrame:
@@ -27,25 +28,34 @@ def centers(triangles: DataFrame, center_x: float | None = None, center_y: float
 
 
 def deduplicate(clusters: DataFrame, box: DataFrame, middle: DataFrame, tolerance: float = 10.0) -> DataFrame:
-    """clusters (frame, side, cluster, n, area, cx, cy) that stay: by falling area, those whose wrapped centroid is tolerance or more from all that stay.
+    """clusters (frame, side, cluster, n, area, cx, cy) that stay: by falling area (then n, then the smaller cluster), those whose wrapped centroid is tolerance or more from all that stay.
 
-    The choice depends on its order, so each (frame, side) is judged by one task; distances are plain, also across the
-    cell's faces. Adds wx and wy.
+    Rounds give what one walk in that order would: the first of a square stays if none of the squares within reach has one
+    before it, as nobody can remove it then; all that are nearer to it than tolerance go. A square is so small that it keeps one
+    at most, so what is compared are firsts and survivors, never all pairs. The first of all stays in each round, so
+    rounds end. Distances are plain, also across the cell's faces; clusters without a finite place don't stay. Adds wx and wy.
     """
     placed = clusters.join(box.select("frame", "lx", "ly"), "frame").join(middle, [*KEYS])
     placed = placed.select(*KEYS, "cluster", "n", "area", wrap(F.col("cx"), F.col("center_x"), F.col("lx")).alias("wx"), wrap(F.col("cy"), F.col("center_y"), F.col("ly")).alias("wy"))
-
-    def choose(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["area", "n", "cluster"], ascending=[False, False, True])
-        at, kept, rows = x[["wx", "wy"]].to_numpy(), np.zeros((len(x), 2)), []
-        for i, p in enumerate(at):
-            d = kept[: len(rows)] - p
-            if not len(rows) or ((d * d).sum(axis=1) >= tolerance * tolerance).all():
-                kept[len(rows)] = p
-                rows.append(i)
-        return x.iloc[rows]
-
-    return placed.groupBy(*KEYS).applyInPandas(choose, placed.schema)
+    placed = placed.where((F.abs("wx") < float("inf")) & (F.abs("wy") < float("inf")))
+    if tolerance <= 0:
+        return placed
+    cols, square = placed.columns, [*KEYS, "square_x", "square_y"]
+    order = F.struct((-F.col("area")).alias("a"), (-F.col("n")).alias("n"), F.col("cluster").alias("c"))
+    reach = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in range(-2, 3) for j in range(-2, 3)]))
+    spread = lambda rows: rows.withColumn("_o", reach).withColumns({f"square_{c}": F.col(f"square_{c}") + F.col(f"_o.{c}") for c in "xy"}).drop("_o")
+    left = written(placed.withColumns({f"square_{c}": F.floor(F.col(f"w{c}") / (0.7 * tolerance)).cast("long") for c in "xy"}), "dedup-left")
+    stay = []
+    while not left.isEmpty():
+        firsts = left.groupBy(square).agg(F.min_by(F.struct("wx", "wy"), order).alias("at"), F.min(order).alias("own"))
+        best = spread(firsts).groupBy(square).agg(F.min("own").alias("best"))
+        won = firsts.join(best, square).where("own = best").select(*square, "own", F.col("at.wx").alias("sx"), F.col("at.wy").alias("sy"))
+        near = left.join(spread(won), square).where((F.col("wx") - F.col("sx")) * (F.col("wx") - F.col("sx")) + (F.col("wy") - F.col("sy")) * (F.col("wy") - F.col("sy")) < tolerance * tolerance)
+        gone = near.groupBy(*KEYS, "cluster").agg(F.max(order == F.col("own")).alias("stays"))
+        state = written(left.join(gone, [*KEYS, "cluster"], "left").where("stays OR stays IS NULL").select(left["*"], "stays"), "dedup-round")
+        stay.append(state.where("stays").select(cols))
+        left = state.where("stays IS NULL").drop("stays")
+    return reduce(DataFrame.unionByName, stay) if stay else placed.where("false")
 
 
 def apposition(triangles: DataFrame, max_distance: float = 40.0) -> DataFrame:
