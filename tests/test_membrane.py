@@ -4,8 +4,9 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from tessera.plans import program
 from tessera.plans.membrane import Analysis
-from tessera.sources import tables
+from tessera.sources import ply, tables
 from tessera.sources.config import Settings
 
 
@@ -30,8 +31,9 @@ def run(spark, tmp_path_factory):
                     serial += 1
                     rows.append((frame, "ATOM", serial, "C1A", "POPC", x, y, tail))
     atoms = spark.createDataFrame([(int(a), b, int(c), e, f, float(x), float(y), float(z)) for a, b, c, e, f, x, y, z in rows], "frame long, record string, serial int, name string, res_name string, x double, y double, z double")
-    (d / "ff.itp").write_text("; MARTINI FORCEFIELD V2.2\n[ moleculetype ]\nPOPC 1\n[ atoms ]\n1 Qa 1 POPC PO4 1 0\n2 C3 1 POPC GL2 2 0\n3 C1 1 POPC C1A 3 0\n[ nonbond_params ]\n" + "\n".join(f"{t} {t} 1 0.15091 0.16267E-02" for t in ("Qa", "C3", "C1")) + "\n")
-    s = Settings(res_name=["POPC"], atom_name=["GL2"], custom_ff=f"file://{d}", triangle_size=3.0, triangle_kd_tree=12, min_defect_size=1.0, max_defect_size=60.0)
+    (d / "ff").mkdir()
+    (d / "ff" / "ff.itp").write_text("; MARTINI FORCEFIELD V2.2\n[ moleculetype ]\nPOPC 1\n[ atoms ]\n1 Qa 1 POPC PO4 1 0\n2 C3 1 POPC GL2 2 0\n3 C1 1 POPC C1A 3 0\n[ nonbond_params ]\n" + "\n".join(f"{t} {t} 1 0.15091 0.16267E-02" for t in ("Qa", "C3", "C1")) + "\n")
+    s = Settings(res_name=["POPC"], atom_name=["GL2"], custom_ff=f"file://{d}/ff", triangle_size=3.0, triangle_kd_tree=12, min_defect_size=1.0, max_defect_size=60.0)
     return Analysis(spark, s, f"file://{d}/out", atoms, smooth=4.0, grid=5)
 
 
@@ -48,7 +50,7 @@ def test_finds_the_hole(run):
 
 def test_statistics(run, spark, tmp_path):
     out = run.summary()
-    assert set(out) == {"fit", "counts", "coverage", "sizes", "histogram", "types", "layers", "layer_fit", "curvature"}
+    assert set(out) == {"fit", "counts", "coverage", "sizes", "histogram", "types", "layers", "layer_fit", "curvature", "curvature_fit"}
     assert out["coverage"].where("frame IS NULL").count() == 1
     assert set(out["layers"].toPandas().region_type) <= {"monolayer", "bilayer"}
     assert abs(out["curvature"].toPandas().h).max() < 0.2
@@ -73,3 +75,37 @@ def test_level_sets_in_the_run(run, spark, tmp_path):
     facts = folded.table("facts").toPandas()
     assert set(facts[facts.side == "upper"].frame) == {0, 1}
     assert abs(folded.table("vertex_h").toPandas().h).median() < 0.05
+
+
+def test_publishes_files(run, spark, tmp_path):
+    out = f"file://{tmp_path}/res"
+    wrote = program.publish(run, out)
+    assert {w.removeprefix(f"{out}/") for w in wrote} >= {"boxes.csv", "atoms.csv", "clusters.csv", "layers.csv", "curvature.csv", "report", "summary/curvature_fit"}
+    text = "\n".join(r.value for r in spark.read.text(f"{out}/report").collect())
+    assert "coverage, all frames" in text and "surfaces" in text
+    facts, mesh = run.table("pruned").toPandas(), run.table("mesh").toPandas()
+    for kind, rows in (("clusters_ply", facts), ("defects_ply", facts), ("curvature_ply", mesh)):
+        for (frame, side), own in rows.groupby(["frame", "side"]):
+            files = list((tmp_path / "res" / kind / f"frame={frame}" / f"side={side}").glob("*.txt"))
+            assert len(files) == 1
+            verts, tris = ply.read_ply(files[0].read_text())
+            assert len(tris) == len(own) and tris.max() == len(verts) - 1
+            m = mesh[(mesh.frame == frame) & (mesh.side == side)].set_index("tri_id").loc[sorted(own.tri_id)]
+            assert np.allclose(verts[tris[:, 0]], m[["ax", "ay", "az"]], rtol=1e-4, atol=1e-4) and np.allclose(verts[tris[:, 2]], m[["cx_", "cy_", "cz_"]], rtol=1e-4, atol=1e-4)
+    before = {w: spark.read.text(w).count() for w in wrote if w.endswith(".csv")}
+    program.publish(run, out)
+    assert before == {w: spark.read.text(w).count() for w in wrote if w.endswith(".csv")}
+
+
+def test_settings_file_frames_and_resume(run, spark, tmp_path):
+    (tmp_path / "run.conf").write_text("input: file:///no/where.pdb\nresume_from = 6  # pruning\ncurvature_frames: 1-1\nclusters_per_frame: off\n")
+    s = program.read_settings(spark, f"file://{tmp_path}/run.conf")
+    assert (s.resume_from, s.curvature_frames, s.cluster_count) == (6, "1-1", False)
+    later = Analysis(spark, replace(run.settings, resume_from=6), str(Path(run.folder).parent).replace("file:/", "file:///"), run._atoms, smooth=4.0, grid=5)
+    assert later.folder == run.folder and later.table("facts").count() == run.table("facts").count()  # the same tables
+    fresh = Analysis(spark, replace(run.settings, resume_from=3), f"file://{tmp_path}/fresh", run._atoms, smooth=4.0, grid=5)
+    with pytest.raises(ValueError, match="step"):
+        fresh.table("mesh")
+    some = Analysis(spark, replace(run.settings, curvature_frames="1-1"), f"file://{tmp_path}/some", run._atoms, smooth=4.0, grid=5)
+    some._ready["mesh"] = run.table("mesh")
+    assert {r.frame for r in some._vertex_h().select("frame").distinct().collect()} == {1}
