@@ -309,9 +309,19 @@ def greedy_dedup(spark, t):
 
 
 _TRIS = "SELECT frame % 5 AS frame, tri_id AS tri, ax * 2 - 40 AS ax, ay - floor(ay / 40) * 40 - 20 AS ay, az * 2 - 4 AS az, bx * 2 - 40 AS bx, by_ - floor(ay / 40) * 40 - 20 AS by, bz * 2 - 4 AS bz, cx_ * 2 - 40 AS cx, cy_ - floor(ay / 40) * 40 - 20 AS cy, cz_ * 2 - 4 AS cz FROM {facets} WHERE defect"
-_TRI_SQL = f", tris AS ({_TRIS.format(facets='facets').replace(' AS by,', ' AS \"by\",')}), mids AS (SELECT frame, tri, (ax + bx + cx) / 3 AS x, (ay + \"by\" + cy) / 3 AS y, (az + bz + cz) / 3 AS z FROM tris)"
-_KNN = f""", near AS (SELECT b.frame, bead, tri, (b.x - m.x) * (b.x - m.x) + (b.y - m.y) * (b.y - m.y) + (b.z - m.z) * (b.z - m.z) AS d2 FROM beads b JOIN mids m ON b.frame = m.frame),
-knn AS (SELECT *, row_number() OVER (PARTITION BY frame, bead ORDER BY d2, tri) AS rank FROM near QUALIFY rank <= {NEAREST})"""
+_ALL_TRIS = _TRIS.removesuffix(" WHERE defect")
+
+
+def _near_sql(tris: str, nearest: int) -> str:
+    """The triangles of a view text, their mid-points and each bead's nearest."""
+    quoted = tris.format(facets="facets").replace(" AS by,", ' AS "by",')
+    return f""", tris AS ({quoted}), mids AS (SELECT frame, tri, (ax + bx + cx) / 3 AS x, (ay + "by" + cy) / 3 AS y, (az + bz + cz) / 3 AS z FROM tris),
+near AS (SELECT b.frame, bead, tri, (b.x - m.x) * (b.x - m.x) + (b.y - m.y) * (b.y - m.y) + (b.z - m.z) * (b.z - m.z) AS d2 FROM beads b JOIN mids m ON b.frame = m.frame),
+knn AS (SELECT *, row_number() OVER (PARTITION BY frame, bead ORDER BY d2, tri) AS rank FROM near QUALIFY rank <= {nearest})"""
+
+
+_HALF, _WHOLE = _near_sql(_TRIS, NEAREST), _near_sql(_ALL_TRIS, WHOLE_NEAREST)
+_KNN_ROWS = " SELECT frame, bead, tri, round(d2, 6) AS d2, CAST(rank AS INT) AS rank FROM knn"
 
 
 def _tris(spark, t) -> DataFrame:
@@ -322,7 +332,7 @@ def _mids(tris: DataFrame) -> DataFrame:
     return tris.select("frame", "tri", *[((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3).alias(c) for c in "xyz"])
 
 
-@query(_TRI_SQL + _KNN + " SELECT frame, bead, tri, round(d2, 6) AS d2, CAST(rank AS INT) AS rank FROM knn", ("facets", "beads"))
+@query(_HALF + _KNN_ROWS, ("facets", "beads"))
 def knn_join(spark, t):
     """Each bead's nearest triangles."""
     return _round(spatial.k_nearest(t("beads"), _mids(_tris(spark, t)), NEAREST))
@@ -368,9 +378,9 @@ def layer_class(spark, t):
     return _round(cl.layers(members, cl.apposition(sheets, PAIRING), tolerance=1.5, bilayer_fraction=0.4))
 
 
-def _coverage_sql() -> str:
-    grid = ", ".join(f"({i}, {w[1]!r}, {w[2]!r})" for i, w in enumerate(geo.barycentric_grid(GRID)))
-    n = len(geo.barycentric_grid(GRID))
+def _coverage_sql(side: int) -> str:
+    grid = ", ".join(f"({i}, {w[1]!r}, {w[2]!r})" for i, w in enumerate(geo.barycentric_grid(side)))
+    n = len(geo.barycentric_grid(side))
     return f""", g(s, wb, wc) AS (VALUES {grid}),
 fr AS (SELECT *, sqrt(abx * abx + aby * aby + abz * abz) AS la, sqrt(n0 * n0 + n1 * n1 + n2 * n2) AS ln_ FROM (SELECT *, aby * acz - abz * acy AS n0, abz * acx - abx * acz AS n1, abx * acy - aby * acx AS n2 FROM
 (SELECT *, bx - ax AS abx, "by" - ay AS aby, bz - az AS abz, cx - ax AS acx, cy - ay AS acy, cz - az AS acz FROM tris))),
@@ -388,7 +398,7 @@ CASE WHEN coalesce(head, 0) > 0 THEN 1 ELSE 3 END AS mode, CASE WHEN coalesce(ne
 FROM tris t LEFT JOIN ag USING (frame, tri) LEFT JOIN tp USING (frame, tri) LEFT JOIN cn USING (frame, tri) LEFT JOIN sn USING (frame, tri))"""
 
 
-@query(_TRI_SQL + _KNN + _coverage_sql() + " SELECT * FROM cl", ("facets", "beads"))
+@query(_HALF + _coverage_sql(GRID) + " SELECT * FROM cl", ("facets", "beads"))
 def coverage_classify(spark, t):
     """Defects and their types by the beads that cover triangles."""
     tris = _tris(spark, t)
@@ -396,7 +406,7 @@ def coverage_classify(spark, t):
     return _round(cov.classify(tris, t("beads"), near, GRID))
 
 
-@query(_TRI_SQL + _KNN + _coverage_sql() + " SELECT frame, tri FROM cl WHERE is_defect", ("facets", "beads"))
+@query(_HALF + _coverage_sql(GRID) + " SELECT frame, tri FROM cl WHERE is_defect", ("facets", "beads"))
 def head_veto_antijoin(spark, t):
     """Defects by an anti-join against heads that cover."""
     tris = _tris(spark, t)
@@ -405,24 +415,24 @@ def head_veto_antijoin(spark, t):
 
 def _whole(spark, t) -> tuple[DataFrame, DataFrame]:
     """All triangles, whichever will prove to be defects, and each bead's nearest of them."""
-    tris = spark.sql(_TRIS.removesuffix(" WHERE defect"), facets=t("facets"))
+    tris = spark.sql(_ALL_TRIS, facets=t("facets"))
     return tris, spatial.k_nearest(t("beads"), _mids(tris), WHOLE_NEAREST)
 
 
-@query()
+@query(_WHOLE + _KNN_ROWS, ("facets", "beads"))
 def knn_join_whole(spark, t):
     """knn_join over all triangles, with as many candidates as the reference's default."""
     return _round(_whole(spark, t)[1])
 
 
-@query()
+@query(_WHOLE + _coverage_sql(cov.GRID) + " SELECT * FROM cl", ("facets", "beads"))
 def coverage_classify_whole(spark, t):
     """coverage_classify over all triangles, with the reference's candidates and samples."""
     tris, near = _whole(spark, t)
     return _round(cov.classify(tris, t("beads"), near))
 
 
-@query()
+@query(_WHOLE + _coverage_sql(cov.GRID) + " SELECT frame, tri FROM cl WHERE is_defect", ("facets", "beads"))
 def head_veto_antijoin_whole(spark, t):
     """head_veto_antijoin over all triangles, with the reference's candidates and samples."""
     tris, near = _whole(spark, t)
