@@ -1,8 +1,11 @@
+import shutil
 from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import program
 from tessera.plans.membrane import Analysis
@@ -97,6 +100,32 @@ def test_publishes_files(run, spark, tmp_path):
     assert before == {w: spark.read.text(w).count() for w in wrote if w.endswith(".csv")}
 
 
+def test_damaged_frames_are_done_again(run, spark, tmp_path):
+    want = {n: run.table(n).toPandas() for n in ("raw", "classes")}
+    base = tmp_path / "copy"
+    shutil.copytree(Path(run.folder.removeprefix("file://")), base / Path(run.folder).name)
+    again = lambda: Analysis(spark, run.settings, f"file://{base}", run._atoms, smooth=4.0, grid=5)
+    own = base / Path(run.folder).name
+    log = lambda n: spark.read.parquet(f"file://{own}/done/{n}").count()
+    assert again().folder == f"file://{own}" and again().table("classes").count() == len(want["classes"]) and log("classes") == 2
+    files = sorted((own / "classes").glob("batch=*/*.parquet"))
+    hit = [f for f in files if spark.read.parquet(f"file://{f}").where("frame = 1").count()][0]
+    frames = {r.frame for r in spark.read.parquet(f"file://{hit}").select("frame").distinct().collect()}
+    hit.write_bytes(hit.read_bytes()[: hit.stat().st_size // 2])
+    for f in (own / "raw").glob("batch=*/*"):
+        f.unlink()  # files that are gone: both frames
+    later = again()
+    for name in ("raw", "classes"):
+        got = later.table(name).toPandas()
+        cols = sorted(got.columns)
+        order = lambda d: d[cols].sort_values(["frame", "side", "tri_id"]).reset_index(drop=True)  # noqa: E731, B023
+        pd.testing.assert_frame_equal(order(got), order(want[name]))
+        assert log(name) == 4  # both frames have new entries: done again, or moved out of the damaged batch
+    seen = spark.read.parquet(f"file://{own}/done/classes").groupBy("frame").agg(F.count_distinct("digest").alias("n")).collect()
+    assert {r.frame: r.n for r in seen} == {0: 1, 1: 1} and frames <= {0, 1}
+    assert len(again().table("classes").toPandas()) == len(want["classes"]) and log("classes") == 4
+
+
 def test_settings_file_frames_and_resume(run, spark, tmp_path):
     (tmp_path / "run.conf").write_text("input: file:///no/where.pdb\nresume_from = 6  # pruning\ncurvature_frames: 1-1\nclusters_per_frame: off\n")
     s = program.read_settings(spark, f"file://{tmp_path}/run.conf")
