@@ -31,7 +31,7 @@ def leaflet_names(spark, t):
 
 
 def _atoms(t) -> DataFrame:
-    """Atoms of the beads; every ninth serial is too long to be a number of five digits."""
+    """Atoms of the beads; serials past 99999 are too long for five digits."""
     text = {"record": F.when(F.col("label") == 0, "HETATM").otherwise("ATOM"), "name": F.when(F.col("label") < 5, "GL2").otherwise("C12A"), "alt_loc": F.lit(" "), "res_name": F.lit("POPC"), "chain": F.lit("A"), "res_seq": F.col("label").cast("string"), "icode": F.lit(" "), "occupancy": F.lit(""), "temp_factor": F.lit(""), "element": F.lit("C"), "charge": F.lit("")}
     return t("beads").select("frame", F.col("bead").cast("int").alias("serial"), "x", "y", "z", *[c.alias(k) for k, c in text.items()])
 

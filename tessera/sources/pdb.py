@@ -17,6 +17,8 @@ FIELDS = {
     "record": (0, 6), "serial": (6, 11), "name": (12, 16), "alt_loc": (16, 17), "res_name": (17, 21), "chain": (21, 22), "res_seq": (22, 26), "icode": (26, 27),
     "x": (30, 38), "y": (38, 46), "z": (46, 54), "occupancy": (54, 60), "temp_factor": (60, 66), "element": (76, 78), "charge": (78, 80),
 }
+#: Numbers of five columns that are decimal, and those that begin with a capital letter (hybrid-36).
+_DECIMAL, _CAPITAL = 100_000, 26 * 36**4
 _TEXT = "path string, start long, stop long"
 
 
@@ -57,6 +59,15 @@ def _chunks(path: str, start: int, stop: int) -> Iterator[list[str]]:
             yield lines
 
 
+def _serials(text: pd.Series) -> pd.Series:
+    """As read_serial."""
+    out = pd.to_numeric(text, errors="coerce").astype("Float64")
+    for first, base in (("A-Z", _DECIMAL), ("a-z", _DECIMAL + _CAPITAL)):
+        wide = text.str.fullmatch(f"[{first}][0-9{first}]{{4}}")
+        out[wide] = text[wide].map(lambda x, base=base: int(x, 36) - 10 * 36**4 + base).astype("Float64")
+    return out
+
+
 def _has_atoms(lines: list[str]) -> bool:
     return any(x[:6].strip() in ("ATOM", "HETATM") for x in lines)
 
@@ -84,7 +95,8 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 text = pd.Series([y for _, y in atoms], dtype=object)
                 for k, (a, b) in FIELDS.items():
                     out[k] = text.str[a:b] if k in ("alt_loc", "chain", "icode") else text.str[a:b].str.strip()
-                for k in ("serial", "x", "y", "z"):
+                out["serial"] = _serials(out["serial"])
+                for k in ("x", "y", "z"):
                     out[k] = pd.to_numeric(out[k], errors="coerce")
                 out = out[out[["x", "y", "z"]].notna().all(axis=1)]
                 out["serial"] = out["serial"].astype("Int32")
@@ -126,11 +138,25 @@ def numbered(atoms: DataFrame) -> DataFrame:
     return atoms.where("serial IS NOT NULL")
 
 
+def format_serial(serial: Column) -> Column:
+    """A serial in five columns: decimal up to 99999, then by digits of base 36 that begin with a letter (hybrid-36: A0000 is 100000, a0000 follows ZZZZZ)."""
+    over = serial.cast("long") - _DECIMAL
+    digits = lambda n: F.conv((n + 10 * 36**4).cast("string"), 10, 36)
+    none = F.raise_error(F.concat(F.lit("a serial of more than five columns: "), serial.cast("string"))).cast("string")
+    return F.when(over < 0, F.format_string("%5d", serial)).when(over < _CAPITAL, digits(over)).when(over < 2 * _CAPITAL, F.lower(digits(over - _CAPITAL))).when(serial.isNull(), "     ").otherwise(none)
+
+
+def read_serial(text: Column) -> Column:
+    """The number that format_serial wrote, as an int; null where there is none."""
+    over = (F.conv(text, 36, 10).cast("long") - 10 * 36**4 + _DECIMAL).cast("int")
+    return F.when(text.rlike("^[A-Z][0-9A-Z]{4}$"), over).when(text.rlike("^[a-z][0-9a-z]{4}$"), over + _CAPITAL).otherwise(text.try_cast("int"))
+
+
 def atom_columns(line: Column) -> dict[str, Column]:
     """The fields of an atom line; numbers that can't be read are null."""
     cell = {k: F.substring(line, a + 1, b - a) for k, (a, b) in FIELDS.items()}
-    kinds = {"serial": "int", "x": "double", "y": "double", "z": "double"}
-    return {k: F.trim(c).try_cast(kinds[k]) if k in kinds else c if k in ("alt_loc", "chain", "icode") else F.trim(c) for k, c in cell.items()}
+    kinds = {"serial": read_serial, **dict.fromkeys("xyz", lambda c: c.try_cast("double"))}
+    return {k: kinds[k](F.trim(c)) if k in kinds else c if k in ("alt_loc", "chain", "icode") else F.trim(c) for k, c in cell.items()}
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -163,7 +189,7 @@ def format_atom() -> Column:
     text = lambda c, blank, width: F.lpad(F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", blank).otherwise(F.trim(c)), width, " ")
     one = lambda c: F.rpad(F.coalesce(c, F.lit("")), 1, " ")
     name = F.when(F.length(F.trim("name")) >= 4, F.trim("name")).otherwise(F.rpad(F.concat(F.lit(" "), F.trim("name")), 4, " "))
-    head = F.concat(F.rpad("record", 6, " "), F.format_string("%5d ", "serial"), F.rpad(name, 4, " "), one("alt_loc"), F.rpad(F.substring("res_name", 1, 4), 4, " "), one("chain"), F.lpad("res_seq", 4, " "), one("icode"))
+    head = F.concat(F.rpad("record", 6, " "), format_serial(F.col("serial")), F.lit(" "), F.rpad(name, 4, " "), one("alt_loc"), F.rpad(F.substring("res_name", 1, 4), 4, " "), one("chain"), F.lpad("res_seq", 4, " "), one("icode"))
     return F.concat(head, F.lit("   "), F.format_string("%8.3f%8.3f%8.3f", "x", "y", "z"), text("occupancy", "1.00", 6), text("temp_factor", "0.00", 6), F.lit(" " * 10), text("element", "  ", 2), text("charge", "  ", 2))
 
 

@@ -101,3 +101,16 @@ def test_growing_trajectory(spark, tmp_path):
     rows(2, 6).write.mode("append").parquet(src)
     assert go() == 6 and go() == 6  # frame 2 came twice and is there once
     assert resume.pending(rows(0, 9).select("frame"), spark.read.parquet(out), ["frame"]).count() == 3
+
+
+def test_serials_past_five_digits(spark, tmp_path):
+    serials = [1, 99999, 100000, 100239, 43770015, 43770016, 87440031]
+    rows = spark.createDataFrame([(0, "ATOM", n, "GL1", "POPC", float(i), 0.0, 0.0) for i, n in enumerate(serials)], "frame long, record string, serial int, name string, res_name string, x double, y double, z double")
+    for c in ("alt_loc", "chain", "res_seq", "icode", "occupancy", "temp_factor", "element", "charge"):
+        rows = rows.withColumn(c, F.lit("1" if c == "res_seq" else " "))
+    lines = pdb.pdb_lines(rows, tiling.fallback_box(rows)).orderBy("frame", "ord")
+    assert [r.line[6:11] for r in lines.where("line LIKE 'ATOM%'").collect()] == ["    1", "99999", "A0000", "A006N", "ZZZZZ", "a0000", "zzzzz"]
+    assert [(r.serial, r.x) for r in pdb.parse_lines(lines).orderBy("x").collect()] == [(n, float(i)) for i, n in enumerate(serials)]
+    path = tmp_path / "wide.pdb"
+    path.write_text("\n".join(r.line for r in lines.collect()) + "\n" + atom(1, 50.0).replace("    1 ", "***** ", 1) + "\n")
+    assert [(r.serial, r.x) for r in pdb.read_pdb(spark, f"file://{path}").orderBy("x").collect()] == [*[(n, float(i)) for i, n in enumerate(serials)], (None, 50.0)]
