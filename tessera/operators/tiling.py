@@ -23,7 +23,8 @@ def tile(atoms: DataFrame, box: DataFrame, nx: int = 3, ny: int = 3) -> DataFram
     copies = atoms.join(box.select("frame", "lx", "ly"), "frame").withColumn("_s", F.explode(shifts)).select("*", "_s.i", "_s.j").drop("_s")
     moved = {"x": F.round(F.col("x") + F.col("i") * F.col("lx"), 3), "y": F.round(F.col("y") + F.col("j") * F.col("ly"), 3), "z": F.round("z", 3)}
     own = (F.col("i") == 0) & (F.col("j") == 0)
-    return copies.withColumns(moved | {"_own": own}).drop("lx", "ly")
+    raw = {f"_{c}": F.when(own, F.col(c)) for c in "xy"}  # the frame's middle is that of its places as given
+    return copies.withColumns(moved | raw).drop("lx", "ly")
 
 
 def cut(tiled: DataFrame, box: DataFrame, scale: float = 1.5, copies: int = 3) -> DataFrame:
@@ -32,11 +33,11 @@ def cut(tiled: DataFrame, box: DataFrame, scale: float = 1.5, copies: int = 3) -
         raise ValueError("the window must be larger than nothing")
     if scale > copies:
         raise ValueError(f"a window of {scale} boxes doesn't fit in {copies} copies")
-    return _cut(tiled, box, scale).drop("_own")
+    return _cut(tiled, box, scale).drop("_x", "_y")
 
 
 def _cut(tiled: DataFrame, box: DataFrame, scale: float) -> DataFrame:
-    mid = lambda c: ((F.min(F.when(F.col("_own"), F.col(c))) + F.max(F.when(F.col("_own"), F.col(c)))) / 2).alias(f"m{c}")
+    mid = lambda c: ((F.min(f"_{c}") + F.max(f"_{c}")) / 2).alias(f"m{c}")
     middle = tiled.groupBy("frame").agg(mid("x"), mid("y"))
     window = box.join(middle, "frame").select("frame", *[(F.col(f"m{c}") + s * scale / 2 * F.col(f"l{c}")).alias(f"{n}{c}") for c in "xy" for s, n in ((-1, "lo"), (1, "hi"))])
     joined = tiled.join(window, "frame")

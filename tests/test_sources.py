@@ -114,3 +114,10 @@ def test_serials_past_five_digits(spark, tmp_path):
     path = tmp_path / "wide.pdb"
     path.write_text("\n".join(r.line for r in lines.collect()) + "\n" + atom(1, 50.0).replace("    1 ", "***** ", 1) + "\n")
     assert [(r.serial, r.x) for r in pdb.read_pdb(spark, f"file://{path}").orderBy("x").collect()] == [*[(n, float(i)) for i, n in enumerate(serials)], (None, 50.0)]
+
+
+def test_cut_goes_by_the_middle_of_places_as_given(spark):
+    a = spark.createDataFrame([(0, i, x, 0.0, 0.0) for i, x in enumerate((0.0004, 7.5, 10.0))], "frame long, bead long, x double, y double, z double")
+    box = spark.createDataFrame([(0, 10.0, 10.0, 10.0)], "frame long, lx double, ly double, lz double")
+    # the window begins at 5.0002 - 7.5, not at -2.5 as it would by rounded places
+    assert sorted(r.x for r in tiling.cut(tiling.tile(a, box), box).where("j = 0").collect()) == [0.0, 0.0, 7.5, 10.0, 10.0]
