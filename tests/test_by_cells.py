@@ -34,6 +34,26 @@ def test_k_nearest(spark, monkeypatch, limits):
     assert spatial.k_nearest(one, two.where("false"), 6).count() == 0 and spatial.k_nearest(one.where("false"), two, 6).count() == 0
 
 
+def test_k_nearest_of_beads_far_off_a_sheet(spark, monkeypatch):
+    """A dense sheet and beads far above it: cubes stay much smaller than the beads' distance, and chunks of few distances give the same."""
+    rng = np.random.default_rng(6)
+    p = [(0, i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(rng.uniform(0, 1, (20_000, 3)) * (80, 40, 2))]
+    b = [(0, i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(np.concatenate([rng.uniform(0, 40, (20, 2)), rng.uniform(20, 60, (20, 1))], axis=1))]
+    monkeypatch.setattr(spatial, "HELD", 4096)
+    levels, write = [], spatial.written
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "nearest-found":
+            levels.append(out.where("settled").agg({"level": "max"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(spatial, "written", written)
+    near = spatial.k_nearest(spark.createDataFrame(b, "frame long, bead long, x double, y double, z double"), spark.createDataFrame(p, "frame long, tri long, x double, y double, z double"), 6)
+    assert {(r.frame, r.bead, r.tri, r["rank"]) for r in near.collect()} == plain_nearest(b, p, 6)
+    assert max(levels) < 3  # by the distance of the farthest beads it would be 4
+
+
 def test_dedup_is_the_walk_in_order(spark):
     rng = np.random.default_rng(8)
     rows = [(f, s, i, int(rng.integers(1, 4)), float(rng.integers(1, 9)), float(x), float(y)) for f in range(2) for s in ("upper", "lower") for i, (x, y) in enumerate(rng.uniform(-148, 148, (300, 2)).round(0))]
