@@ -1,7 +1,8 @@
 """Suffix-array dedup over a run-length index: bytes covered by a string of LEAST bytes that an older document holds too.
 
 A window is LEAST bytes of one text. Equal windows have equal anchors (the smallest hash of their KMER-byte parts), so
-consecutive windows of one anchor travel as a piece; anchors that a single document holds can't matter and go first. Equal
+consecutive windows of one anchor travel as a piece; anchors that a single document holds can't matter and go first: pieces are
+dealt by anchor, packed, in PARTS rounds over the texts, and each deal keeps those of anchors that two documents hold. Equal
 pieces become one, held by their oldest document; a piece that is its anchor's only one has no older window anywhere. All
 others are dealt to buckets by anchor; a bucket's pieces become a run-length index (runindex), and each piece streams its
 matching statistics against it: a window that matches LEAST bytes whose oldest holder is older than the piece's is marked.
@@ -12,6 +13,7 @@ bound; windows of those are dealt one by one instead, by their own hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,10 @@ BUCKET_BYTES, TASK_BYTES = 1 << 19, 8 << 20
 CROWD = 64
 #: Texts are hashed together up to so many bytes.
 HASH_BYTES = 1 << 21
+#: Anchors are dealt in so many parts, one after the other, each from the texts anew, so that not all pieces lie on disk at once.
+PARTS = 2
+#: Bytes of text whose pieces (of one part) make a deal, and a task.
+DEAL_TEXT, DEAL_TASK = 8 << 20, 32 << 20
 #: Texts in a worker at once.
 TEXT_ROWS = 500
 
@@ -47,8 +53,8 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def pieces_of(texts: list[bytes], whole: bool = True) -> tuple[np.ndarray, ...]:
-    """Of each piece: which text, where it starts in it, how many windows it has, its anchor and, if whole, its own hash."""
+def pieces_of(texts: list[bytes], whole: bool = True, part: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, ...]:
+    """Of each piece (whose anchor is of one part of so many): which text, where it starts in it, how many windows it has, its anchor and, if whole, its own hash."""
     size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     first = np.concatenate([[0], np.cumsum(size)])
     buf = np.frombuffer(b"".join(texts), np.uint8)
@@ -67,35 +73,68 @@ def pieces_of(texts: list[bytes], whole: bool = True) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero((within % MOST_WINDOWS == 0) & real)
     count = np.add.reduceat(real.astype(np.int64), np.flatnonzero(within % MOST_WINDOWS == 0))
     count = count[count > 0]
+    if part[1] > 1:
+        mine = low[head] % np.uint64(part[1]) == part[0]
+        head, count = head[mine], count[mine]
     return of[head], head - first[of[head]], count, low[head], hashes(head, head + count + LEAST - 1) if whole else low[:0]
 
 
 PIECE = "doc long, th long, anchor long, piece long, start int, n int"
+#: Pieces of a group of texts that go to one deal, each column as one array; n is negative where the group itself shows two documents of the anchor.
+DEALT = "deal int, doc array<long>, th array<long>, anchor array<long>, piece array<long>, start array<int>, n array<tinyint>"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        text = batch.column(2).cast(pa.binary())
-        size = np.array(pa.compute.binary_length(text).to_numpy(zero_copy_only=False), np.int64)
-        group = np.cumsum(size) // HASH_BYTES
-        for a, b in _ranges(group):
-            of, start, n, anchor, piece = pieces_of(text.slice(a, b - a).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[a:b][of]), pa.array(th[a:b][of]), pa.array(signed(anchor)), pa.array(signed(piece)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["doc", "th", "anchor", "piece", "start", "n"])
-    give_back()
+def _runs(anchor: np.ndarray, doc: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by anchor, where each anchor's run begins in it, and whether it is known or has two documents."""
+    order = np.argsort(anchor, kind="stable")
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(anchor)), bool), np.diff(anchor[order]) != 0]))
+    if not len(begin):
+        return order, begin, np.zeros(0, bool)
+    d = doc[order]
+    return order, begin, np.logical_or.reduceat(known[order], begin) | (np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of each text, which may come more than once."""
-    for batch in batches:
-        doc, text = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).cast(pa.binary())
-        size = np.array(pa.compute.binary_length(text).to_numpy(zero_copy_only=False), np.int64)
-        for a, b in _ranges(np.cumsum(size) // HASH_BYTES):
-            of, _, _, anchor, _ = pieces_of(text.slice(a, b - a).to_pylist(), False)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[a:b][of]), pa.array(signed(anchor))], names=["doc", "anchor"])
-    give_back()
+def _cut(deals: int, part: int):
+    """The pieces of texts whose anchors are of one part of PARTS, in deals by anchor.
+
+    Of an anchor that a group of texts already shows in two documents one piece goes to the anchor's deal, to tell it, and
+    the others anywhere; so an anchor that is everywhere fills no deal.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            text = batch.column(2).cast(pa.binary())
+            size = np.array(pa.compute.binary_length(text).to_numpy(zero_copy_only=False), np.int64)
+            group = np.cumsum(size) // HASH_BYTES
+            for a, b in _ranges(group):
+                of, start, n, anchor, piece = pieces_of(text.slice(a, b - a).to_pylist(), True, (part, PARTS))
+                d, own = doc[a:b][of], signed(anchor)
+                to = (anchor // np.uint64(PARTS) % np.uint64(deals)).astype(np.int32)
+                order, begin, two = _runs(own, d, np.zeros(len(d), bool))
+                two = np.repeat(two, np.diff(np.append(begin, len(d))))
+                known = np.zeros(len(d), bool)
+                known[order] = two
+                two[begin] = False
+                spare = order[two]
+                to[spare] = spare % deals
+                by = np.argsort(to, kind="stable")
+                deal, first = np.unique(to[by], return_index=True)
+                at = pa.array(np.append(first, len(by)).astype(np.int32))
+                n = np.where(known, -n, n).astype(np.int8)
+                cols = [pa.ListArray.from_arrays(at, pa.array(x[by])) for x in (d, th[a:b][of], own, signed(piece), start.astype(np.int32), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(deal), *cols], names=["deal", "doc", "th", "anchor", "piece", "start", "n"])
+        give_back()
+
+    return cut
+
+
+def _shared(deal: pa.Table) -> pa.Table:
+    """Of a deal: the pieces whose anchor two documents hold."""
+    doc, th, anchor, piece, start, n = (np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in deal.column(i).chunks]) for i in range(1, 7))
+    order, begin, held = _runs(anchor, doc, n < 0)
+    keep = np.sort(order[np.repeat(held, np.diff(np.append(begin, len(order))))])
+    return pa.table({"doc": doc[keep], "th": th[keep], "anchor": anchor[keep], "piece": piece[keep], "start": start[keep], "n": np.abs(n[keep]).astype(np.int32)})
 
 
 def _ranges(group: np.ndarray) -> list[tuple[int, int]]:
@@ -201,11 +240,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     again = not rows.where("doc IS NOT NULL").groupBy("doc").count().where("count > 1").isEmpty()
     rows = rows.select("doc", (F.xxhash64("text") if again else F.lit(0).cast("long")).alias("th"), "text")
     long = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LEAST))
-    # written first, so that the joins are dealt by themselves and an anchor or a piece that is everywhere can be split;
-    # cutting the texts a second time costs less than keeping all pieces
-    held = materialize(long.mapInArrow(_anchors, "doc long, anchor long").groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor"), "anchors")
-    shared = materialize(long.mapInArrow(_cut, PIECE).join(held.hint("shuffle_hash"), "anchor", "left_semi"), "shared")
-    discard(held)
+    # written first, so that the joins are dealt by themselves and an anchor or a piece that is everywhere can be split
+    size = long.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    deals, tasks = -(-size // DEAL_TEXT) or 1, -(-size // DEAL_TASK) or 1
+    parts = [materialize(long.mapInArrow(_cut(deals, part), DEALT).repartition(tasks, "deal").groupBy("deal").applyInArrow(_shared, PIECE), "shared") for part in range(PARTS)]
+    shared = reduce(DataFrame.unionByName, parts)
     unlike = materialize(shared.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "th", "start")).alias("at"), F.min("n").alias("n")).select("anchor", "piece", "at.doc", "at.th", "at.start", "n"), "unlike")
     counts = materialize(unlike.groupBy("anchor").agg(F.count("*").alias("count"), F.sum(F.col("n") + LEAST).alias("size")).where("count > 1"), "counts")
 
@@ -230,7 +269,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     marks = F.when(F.col("doc") > F.col("holder"), F.expr("shiftleft(1L, n) - 1L")).otherwise(F.col("marks"))
     marked = shared.join(ruled.hint("shuffle_hash"), ["anchor", "piece"]).select("doc", "th", "start", marks.alias("marks")).where("marks <> 0")
     marked = materialize(marked, "marked").groupBy("doc", "th").agg(F.collect_list(F.struct("start", "marks")).alias("marked"))
-    discard(shared, unlike, ruled)
+    discard(*parts, unlike, ruled)
     small_batches(spark, TEXT_ROWS)
     return rows.join(marked, ["doc", "th"], "left").select("doc", "text", "marked").mapInArrow(_finish, f"doc_id long, n_bytes long, spans {SPANS}, kept binary")
 

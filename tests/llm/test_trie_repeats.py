@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tessera.llm import repeats, trie
@@ -163,3 +164,30 @@ def test_pieces_cover_each_window_once():
         assert sorted(k for s, c in zip(start[own], n[own], strict=True) for k in range(s, s + c)) == list(range(max(0, len(x) - 49)))
     assert n.max() <= repeats.MOST_WINDOWS and len(set(anchor[of == 0])) == 1
     assert pd.Series(repeats.window_minima(np.array([5, 3, 4, 1, 2], np.uint64), 3)).tolist() == [3, 1, 1]
+
+
+def test_an_anchor_that_is_everywhere_fills_no_deal():
+    """Pieces of texts that all hold one passage: the parts together are all pieces, and a deal gets one piece of an anchor that its group shows to be held twice."""
+    rng = np.random.default_rng(3)
+    same = rng.bytes(400)
+    texts = [rng.bytes(60) + same + rng.bytes(60) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([0] * 300, pa.int64()), pa.array(texts)], names=["doc", "th", "text"])
+    rows, most = [], 0
+    for part in range(repeats.PARTS):
+        for out in repeats._cut(64, part)(iter([batch])):
+            for r in out.to_pylist():
+                one = list(zip(r["doc"], r["anchor"], r["piece"], r["start"], [abs(n) for n in r["n"]], strict=True))
+                rows += one
+                most = max(most, len(one))
+    of, start, n, anchor, piece = repeats.pieces_of(texts)
+    assert sorted(rows) == sorted(zip(of.tolist(), anchor.view(np.int64).tolist(), piece.view(np.int64).tolist(), start.tolist(), n.tolist(), strict=True))
+    assert most < 2 * len(rows) / repeats.PARTS / 64
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeats_in_parts_and_deals(spark, tmp_path, monkeypatch, parts):
+    for name, v in (("PARTS", parts), ("DEAL_TEXT", 500), ("DEAL_TASK", 4000), ("HASH_BYTES", 1000)):
+        monkeypatch.setattr(repeats, name, v)
+    spark.createDataFrame([(d, x) for d, x in documents()], "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    out = repeats.op12_repeats(spark, str(tmp_path))
+    assert sorted(map(tuple, out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str) == plain_repeats(documents())
