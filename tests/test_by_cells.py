@@ -68,3 +68,28 @@ def test_dedup_is_the_walk_in_order(spark):
     got = clusters.deduplicate(c, box, mid).collect()
     assert sorted((r.frame, r.side, r.cluster) for r in got) == sorted((*k, i) for k, v in kept.items() for *_, i in v)
     assert clusters.deduplicate(c.where("false"), box, mid).count() == 0 and clusters.deduplicate(c, box, mid, 0).count() == len(rows)
+
+
+def test_components_of_points_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    rows = [(0, i, *map(float, q)) for i, q in enumerate(rng.permutation(np.stack([np.arange(150) * 7.9, np.zeros(150), np.zeros(150)], axis=1)))]  # a chain
+    rows += [(1, i, *map(float, q)) for i, q in enumerate(rng.uniform(-40, 40, (250, 3)))] + [(2, i, 1.0, 1.0, 1.0) for i in range(300)] + [(2, 900, 9.0, 1.0, 1.0), (2, 901, 17.1, 1.0, 1.0), (2, 902, float("nan"), 1.0, 1.0)]
+    rows += [(3, i, float(8 * (i % 6)), float(8 * (i // 6)), 0.0) for i in range(36)]  # all exactly a radius apart
+    root = {}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for r in rows:
+        root[r[:2]] = r[:2]
+    for i, p in enumerate(rows):
+        for q in rows[:i]:
+            if p[0] == q[0] and sum((u - v) ** 2 for u, v in zip(p[2:], q[2:], strict=True)) <= 64:
+                x, y = sorted((find(p[:2]), find(q[:2])))
+                root[y] = x
+    points = spark.createDataFrame(rows, "frame long, bead long, x double, y double, z double")
+    got = spatial.point_components(points, 8.0)
+    assert {(r.frame, r.bead, r.component) for r in got.collect()} == {(*r[:2], find(r[:2])[1]) for r in rows}
+    assert spatial.point_components(points.where("false"), 8.0).count() == 0
