@@ -13,6 +13,8 @@ from tessera.llm.common import materialize, table
 QUERY_BLOCK = 2048
 #: Rows of the scanned side that get a dense score array at once.
 ROW_BLOCK = 2048
+#: Queries and rows of a tile of dense scores, which stays in a core's cache while all terms are added to it.
+TILE = 64, 1024
 #: Packed query blocks are sent to all tasks only up to so many bytes; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -26,17 +28,28 @@ def _matrix(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def score_block(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores of every query against every row: each term's weighted postings are added to the queries' dense score arrays."""
-    scores = np.zeros((len(queries), len(rows)), np.result_type(queries, rows) if object not in (queries.dtype, rows.dtype) else object)
-    for term in range(min(queries.shape[1], rows.shape[1])):
-        asking, posted = np.flatnonzero(queries[:, term]), np.flatnonzero(rows[:, term])
-        if len(asking) and len(posted):
-            add = np.multiply.outer(queries[asking, term], rows[posted, term])
-            if len(asking) == len(queries) and len(posted) == len(rows):
-                scores += add
-            else:
-                scores[np.ix_(asking, posted)] += add
-    return scores
+    """Scores of every query against every row: each term's weighted postings are added to the queries' dense score arrays, tile by tile."""
+    terms = min(queries.shape[1], rows.shape[1])
+    if object in (queries.dtype, rows.dtype):
+        kind = np.dtype(object)
+    else:
+        # 32 bits where no sum can leave them
+        most = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * terms
+        kind = np.dtype(np.int32) if most < 1 << 31 else np.result_type(queries, rows)
+    scores = np.zeros((len(queries), len(rows)), kind)
+    by_query, by_row = (np.ascontiguousarray(x[:, :terms].T).astype(kind) for x in (queries, rows))
+    for i in range(0, len(queries), TILE[0]):
+        for j in range(0, len(rows), TILE[1]):
+            tile = np.zeros((min(TILE[0], len(queries) - i), min(TILE[1], len(rows) - j)), kind)
+            room = np.empty_like(tile)
+            for q, r in zip(by_query[:, i : i + TILE[0]], by_row[:, j : j + TILE[1]], strict=True):
+                asking, posted = np.flatnonzero(q), np.flatnonzero(r)
+                if 2 * len(asking) * len(posted) > tile.size:
+                    tile += np.multiply.outer(q, r, out=room)
+                elif len(asking) and len(posted):
+                    tile[np.ix_(asking, posted)] += np.multiply.outer(q[asking], r[posted])
+            scores[i : i + TILE[0], j : j + TILE[1]] = tile
+    return scores if kind == object else scores.astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

@@ -386,3 +386,13 @@ def test_pipeline(spark, folder):
     last = kept["sentencepiece"]
     assert all(model.decode(np.asarray(r.ids)) == r.text for r in last.itertuples())
     assert len(corpus_pipeline.run(spark, folder).toPandas()) == len(last)
+
+
+def test_scores_go_tile_by_tile():
+    """Dense, sparse and large terms give the products' sums; a tile's arrays are no larger than the bound."""
+    rng = np.random.default_rng(2)
+    for high, share in ((90, 1.0), (90, 0.1), (1 << 24, 0.3)):
+        q, r = (rng.integers(-high, high, (n, 9)) * (rng.random((n, 9)) < share) for n in (topk.TILE[0] + 3, topk.TILE[1] + 5))
+        got = topk.score_block(q, r)
+        assert got.dtype == np.int64 and (got == q @ r.T).all()
+    assert topk.score_block(np.zeros((0, 0), np.int64), r).shape == (0, len(r))
