@@ -49,6 +49,13 @@ def test_whole_knn(spark, brute):
     assert {r.tri for r in got} - set(f.tri_id[f.defect]) and max(r["rank"] for r in got) == min(48, (f.frame % 5).value_counts().max())
 
 
+def test_knn_join_takes_all_triangles(spark, brute):
+    f, near, _ = brute
+    got = catalog.QUERIES["knn_join"](spark, SMALL).collect()
+    assert {(r.frame, r.bead, r.tri, r["rank"]) for r in got} == {x for x in near if x[3] <= catalog.NEAREST} and len(got) == len(set(got))
+    assert {r.tri for r in got} - set(f.tri_id[f.defect]) and "WHERE defect" not in catalog.SQL["knn_join"]
+
+
 def test_whole_coverage(spark, brute):
     f, _, rows = brute
     got = {r.tri: r for r in catalog.QUERIES["coverage_classify_whole"](spark, SMALL).collect()}
