@@ -2,7 +2,8 @@
 
 A window is LEAST bytes of one text. Equal windows have equal anchors (the smallest hash of their KMER-byte parts), so
 consecutive windows of one anchor travel as a piece; anchors that a single document holds can't matter and go first: pieces are
-dealt by anchor, packed, in PARTS rounds over the texts, and each deal keeps those of anchors that two documents hold. Equal
+dealt by anchor, packed, and each deal keeps those of anchors that two documents hold, equal pieces as one row with all their
+places. Anchors go in PARTS rounds over the texts; each ends with its marks, so one round's steps lie on disk at once. Equal
 pieces become one, held by their oldest document; a piece that is its anchor's only one has no older window anywhere. All
 others are dealt to buckets by anchor; a bucket's pieces become a run-length index (runindex), and each piece streams its
 matching statistics against it: a window that matches LEAST bytes whose oldest holder is older than the piece's is marked.
@@ -28,13 +29,17 @@ from tessera.llm.runindex import RunIndex
 #: Bytes of a window, of the parts whose smallest hash is its anchor, and most windows of a piece (their marks are bits of a long).
 LEAST, KMER, MOST_WINDOWS = 50, 20, 31
 #: Bytes of a bucket and of the buckets of a task, on the average.
-BUCKET_BYTES, TASK_BYTES = 1 << 19, 8 << 20
-#: Most unlike pieces of an anchor that go to one bucket; the windows of larger groups are dealt one by one.
-CROWD = 64
+BUCKET_BYTES, TASK_BYTES = 1 << 19, 2 << 20
+#: Most unlike pieces of an anchor that go to one bucket, of which they fill a part; the windows of larger groups are dealt one by one.
+CROWD = 16384
+#: Those windows are judged by portions of anchors, with about one window for so many bytes of text.
+WINDOW_TEXT = 80
 #: Texts are hashed together up to so many bytes.
 HASH_BYTES = 1 << 21
-#: Anchors are dealt in so many parts, one after the other, each from the texts anew, so that not all pieces lie on disk at once.
+#: Anchors are done in so many parts, one after the other, each from the texts anew, so that not all pieces lie on disk at once.
 PARTS = 2
+#: Texts are cut in pieces' bytes by so many portions of documents, so that not all texts are shuffled at once.
+CUTS = 2
 #: Bytes of text whose pieces (of one part) make a deal, and a task.
 DEAL_TEXT, DEAL_TASK = 8 << 20, 32 << 20
 #: Texts in a worker at once.
@@ -79,7 +84,8 @@ def pieces_of(texts: list[bytes], whole: bool = True, part: tuple[int, int] = (0
     return of[head], head - first[of[head]], count, low[head], hashes(head, head + count + LEAST - 1) if whole else low[:0]
 
 
-PIECE = "doc long, th long, anchor long, piece long, start int, n int"
+#: Equal pieces of a deal: all their places by document, that of the oldest document first.
+PLACES = "anchor long, piece long, n int, docs array<long>, ths array<long>, starts array<int>"
 #: Pieces of a group of texts that go to one deal, each column as one array; n is negative where the group itself shows two documents of the anchor.
 DEALT = "deal int, doc array<long>, th array<long>, anchor array<long>, piece array<long>, start array<int>, n array<tinyint>"
 
@@ -130,11 +136,20 @@ def _cut(deals: int, part: int):
 
 
 def _shared(deal: pa.Table) -> pa.Table:
-    """Of a deal: the pieces whose anchor two documents hold."""
+    """Of a deal: the pieces whose anchor two documents hold, equal ones as one row (seldom as several)."""
     doc, th, anchor, piece, start, n = (np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in deal.column(i).chunks]) for i in range(1, 7))
     order, begin, held = _runs(anchor, doc, n < 0)
-    keep = np.sort(order[np.repeat(held, np.diff(np.append(begin, len(order))))])
-    return pa.table({"doc": doc[keep], "th": th[keep], "anchor": anchor[keep], "piece": piece[keep], "start": start[keep], "n": np.abs(n[keep]).astype(np.int32)})
+    keep = order[np.repeat(held, np.diff(np.append(begin, len(order))))]
+    # one number for both hashes tells the order alone; rows are cut where either changes
+    mixed = anchor[keep] * np.int64(0x9E3779B97F4A7C1) + piece[keep]
+    keep = keep[np.lexsort((doc[keep], mixed))]
+    anchor, piece, n = anchor[keep], piece[keep], np.abs(n[keep]).astype(np.int32)
+    new = np.ones(len(keep), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]) | (n[1:] != n[:-1])
+    first = np.flatnonzero(new)
+    at = pa.array(np.append(first, len(keep)).astype(np.int32))
+    lists = {name: pa.ListArray.from_arrays(at, pa.array(x[keep])) for name, x in (("docs", doc), ("ths", th), ("starts", start))}
+    return pa.table({"anchor": anchor[first], "piece": piece[first], "n": n[first], **lists})
 
 
 def _ranges(group: np.ndarray) -> list[tuple[int, int]]:
@@ -226,6 +241,50 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _marked(rows: DataFrame, long: DataFrame, again: bool, size: int, deals: int, tasks: int, part: int) -> DataFrame:
+    """doc, th, start and marks of the pieces of one part of the anchors that have marks; nothing else of it stays on disk."""
+    spark = rows.sparkSession
+    small_batches(spark, TEXT_ROWS)
+    shared = materialize(long.mapInArrow(_cut(deals, part), DEALT).repartition(tasks, "deal").groupBy("deal").applyInArrow(_shared, PLACES), "shared")
+    oldest = F.min(F.struct(F.col("docs")[0].alias("doc"), F.col("ths")[0].alias("th"), F.col("starts")[0].alias("start")))
+    unlike = materialize(shared.groupBy("anchor", "piece").agg(oldest.alias("at"), F.min("n").alias("n")).select("anchor", "piece", "at.doc", "at.th", "at.start", "n"), "unlike")
+    counts = materialize(unlike.groupBy("anchor").agg(F.count("*").alias("count"), F.sum(F.col("n") + LEAST).alias("size"), F.sum("n").alias("windows")).where("count > 1"), "counts")
+
+    asked = unlike.join(counts, "anchor", "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "piece", "start", "n")).alias("asked"))
+    cuts = []
+    for k in range(CUTS):
+        mine = F.pmod(F.xxhash64("doc"), F.lit(CUTS)) == k
+        holders = rows.where(mine).join(asked.where(mine), ["doc", "th"])
+        if again:
+            holders = holders.dropDuplicates(["doc", "th"])
+        cuts.append(materialize(holders.select("doc", "text", "asked").mapInArrow(_bytes_of, "doc long, anchor long, piece long, bytes binary"), "cut"))
+    cut = reduce(DataFrame.unionByName, cuts)
+    crowd = materialize(counts.where(F.col("count") > CROWD).select("anchor"), "crowd")
+    bucketed, crowded = (counts.agg(F.sum(F.when(F.col("count") <= CROWD, F.col("size"))), F.sum(F.when(F.col("count") > CROWD, F.col("windows")))).first()[i] or 0 for i in (0, 1))
+    dealt = cut.join(crowd, "anchor", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(-(-bucketed // BUCKET_BYTES) or 1)))
+    judged = dealt.repartition(-(-bucketed // TASK_BYTES) or 1, "bucket").groupBy("bucket").applyInPandas(_judge, "anchor long, piece long, marks long")
+    judged = [materialize(judged, "judged")]
+    small_batches(spark, 10_000)
+    portions = -(-crowded * WINDOW_TEXT // size) if crowded else 0
+    for k in range(portions):
+        some = cut.join(crowd.where(F.pmod(F.xxhash64("anchor"), F.lit(portions)) == k), "anchor", "left_semi")
+        alone = materialize(some.select("doc", "anchor", "piece", "bytes").mapInArrow(_windows, "doc long, anchor long, piece long, k int, w1 long, w2 long"), "windows")
+        first = materialize(alone.groupBy("w1", "w2").agg(F.min("doc").alias("oldest"), F.max("doc").alias("newest")).where("oldest < newest").select("w1", "w2", "oldest"), "oldest")
+        hit = alone.join(first, ["w1", "w2"]).where("oldest < doc").groupBy("anchor", "piece").agg(F.expr("bit_or(shiftleft(1L, k))").alias("marks"))
+        judged.append(materialize(hit, "judged"))
+        discard(alone, first)
+    discard(*cuts, crowd, counts)
+    ruled = unlike.join(reduce(DataFrame.unionByName, judged), ["anchor", "piece"], "left").select("anchor", "piece", F.col("doc").alias("holder"), F.coalesce("marks", F.lit(0).cast("long")).alias("marks"))
+    ruled = materialize(ruled, "ruled")
+    discard(unlike, *judged)
+    places = shared.join(ruled.hint("shuffle_hash"), ["anchor", "piece"]).where("marks <> 0 OR docs[size(docs) - 1] > holder")
+    each = places.select("n", "holder", "marks", "ths", "starts", F.posexplode("docs").alias("at", "doc"))
+    marks = F.when(F.col("doc") > F.col("holder"), F.expr("shiftleft(1L, n) - 1L")).otherwise(F.col("marks"))
+    marked = materialize(each.select("doc", F.col("ths")[F.col("at")].alias("th"), F.col("starts")[F.col("at")].alias("start"), marks.alias("marks")).where("marks <> 0"), "marked")
+    discard(shared, ruled)
+    return marked
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed bytes, from start to before end, ascending, apart) and kept (binary) of each row of docs (doc_id, text).
 
@@ -243,35 +302,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     # written first, so that the joins are dealt by themselves and an anchor or a piece that is everywhere can be split
     size = long.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     deals, tasks = -(-size // DEAL_TEXT) or 1, -(-size // DEAL_TASK) or 1
-    parts = [materialize(long.mapInArrow(_cut(deals, part), DEALT).repartition(tasks, "deal").groupBy("deal").applyInArrow(_shared, PIECE), "shared") for part in range(PARTS)]
-    shared = reduce(DataFrame.unionByName, parts)
-    unlike = materialize(shared.groupBy("anchor", "piece").agg(F.min(F.struct("doc", "th", "start")).alias("at"), F.min("n").alias("n")).select("anchor", "piece", "at.doc", "at.th", "at.start", "n"), "unlike")
-    counts = materialize(unlike.groupBy("anchor").agg(F.count("*").alias("count"), F.sum(F.col("n") + LEAST).alias("size")).where("count > 1"), "counts")
-
-    asked = unlike.join(counts, "anchor", "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "piece", "start", "n")).alias("asked"))
-    holders = rows.join(asked, ["doc", "th"])
-    if again:
-        holders = holders.dropDuplicates(["doc", "th"])
-    cut = materialize(holders.select("doc", "text", "asked").mapInArrow(_bytes_of, "doc long, anchor long, piece long, bytes binary"), "cut")
-    crowd = materialize(counts.where(F.col("count") > CROWD).select("anchor"), "crowd")
-    size = counts.where(F.col("count") <= CROWD).agg(F.sum("size").alias("n")).first().n or 0
-    dealt = cut.join(crowd, "anchor", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(-(-size // BUCKET_BYTES) or 1)))
-    judged = dealt.repartition(-(-size // TASK_BYTES) or 1, "bucket").groupBy("bucket").applyInPandas(_judge, "anchor long, piece long, marks long")
-    judged = materialize(judged, "judged")
-    small_batches(spark, 10_000)
-    if not crowd.isEmpty():
-        alone = materialize(cut.join(crowd, "anchor", "left_semi").select("doc", "anchor", "piece", "bytes").mapInArrow(_windows, "doc long, anchor long, piece long, k int, w1 long, w2 long"), "windows")
-        oldest = materialize(alone.groupBy("w1", "w2").agg(F.min("doc").alias("oldest"), F.max("doc").alias("newest")).where("oldest < newest").select("w1", "w2", "oldest"), "oldest")
-        hit = alone.join(oldest, ["w1", "w2"]).where("oldest < doc").groupBy("anchor", "piece").agg(F.expr("bit_or(shiftleft(1L, k))").alias("marks"))
-        judged = judged.unionByName(hit)
-    ruled = materialize(unlike.join(judged, ["anchor", "piece"], "left").select("anchor", "piece", F.col("doc").alias("holder"), F.coalesce("marks", F.lit(0).cast("long")).alias("marks")), "ruled")
-    discard(cut, crowd, counts)
-    marks = F.when(F.col("doc") > F.col("holder"), F.expr("shiftleft(1L, n) - 1L")).otherwise(F.col("marks"))
-    marked = shared.join(ruled.hint("shuffle_hash"), ["anchor", "piece"]).select("doc", "th", "start", marks.alias("marks")).where("marks <> 0")
-    marked = materialize(marked, "marked").groupBy("doc", "th").agg(F.collect_list(F.struct("start", "marks")).alias("marked"))
-    discard(*parts, unlike, ruled)
+    marked = [_marked(rows, long, again, size, deals, tasks, part) for part in range(PARTS)]
     small_batches(spark, TEXT_ROWS)
-    return rows.join(marked, ["doc", "th"], "left").select("doc", "text", "marked").mapInArrow(_finish, f"doc_id long, n_bytes long, spans {SPANS}, kept binary")
+    marks = reduce(DataFrame.unionByName, marked).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "marks")).alias("marked"))
+    return rows.join(marks, ["doc", "th"], "left").select("doc", "text", "marked").mapInArrow(_finish, f"doc_id long, n_bytes long, spans {SPANS}, kept binary")
 
 
 def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Prefix trie and suffix-array dedup: odd tables against plain Python, SQL, and the index against substring search."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -191,3 +192,26 @@ def test_repeats_in_parts_and_deals(spark, tmp_path, monkeypatch, parts):
     spark.createDataFrame([(d, x) for d, x in documents()], "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
     out = repeats.op12_repeats(spark, str(tmp_path))
     assert sorted(map(tuple, out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str) == plain_repeats(documents())
+
+
+def test_rounds_end_with_their_marks(spark, monkeypatch):
+    """Of all steps only the marks stay on disk, equal pieces are one row, and single windows are judged by portions."""
+    from tessera.llm import common
+
+    paths, new_folder, tables, materialize = [], common.new_folder, {}, common.materialize
+    monkeypatch.setattr(common, "new_folder", lambda s, name: paths.append(new_folder(s, name)) or paths[-1])
+
+    def written(df, name):
+        out = materialize(df, name)
+        tables.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "materialize", written)
+    for name, v in (("CROWD", 3), ("WINDOW_TEXT", 200)):
+        monkeypatch.setattr(repeats, name, v)
+    rows = documents()
+    out = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {os.path.basename(p).split("-")[0] for p in paths if os.path.exists(p)} == {"marked"} and len(tables["marked"]) == repeats.PARTS
+    assert len(tables["windows"]) > repeats.PARTS and len(tables["cut"]) == repeats.PARTS * repeats.CUTS
+    assert sum(tables["shared"]) == sum(tables["unlike"])  # a deal has all of a piece's places
+    assert sorted((r.doc_id, r.n_bytes, sum(b - a for a, b in r.spans), len(r.spans)) for r in out.collect() if r.doc_id is not None) == sorted(x[:4] for x in plain_repeats(rows) if x[0] is not None)
